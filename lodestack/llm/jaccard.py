@@ -97,9 +97,7 @@ def in_order(s: np.ndarray, moved: np.ndarray | None) -> np.ndarray:
     p = prefix_length(len(s))
     if moved is None or not len(moved):
         return s[:p]
-    k = keys_of(s)
-    at = np.searchsorted(moved, k)
-    last = (at < len(moved)) & (moved[np.minimum(at, len(moved) - 1)] == k)
+    last = among(keys_of(s), moved)
     if (free := s[~last])[p - 1 :].size:
         return free[:p]
     return np.concatenate([free, s[last]])[:p]
@@ -110,6 +108,12 @@ def keys_of(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def among(k: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted, non-empty array."""
+    at = np.searchsorted(moved, k)
+    return moved[np.minimum(at, len(moved) - 1)] == k
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Parities of how many shingles fall into each of 2**k >= n cells. Sets that
     differ in d shingles differ in at most d parities."""
@@ -222,8 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if len(moved):
         touched = lambda m: entries.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"key": m}))), "key", "left_semi").select("doc").distinct()
         affected = text.join(_side(written(touched(moved), "jaccard-touched")), "doc", "left_semi")
-        everywhere = affected.mapInArrow(_count_keys, "key int, c long").groupBy("key").agg(F.sum("c").alias("c"))
-        moved = _moved(written(frequent(first.unionByName(everywhere).groupBy("key").agg(F.max("c").alias("c")), "c"), "jaccard-frequent"))
+        # What takes their place may be frequent too: the shingles next in order are counted as well.
+        behind = affected.mapInArrow(_next_keys(spark.sparkContext.broadcast(moved)), "key int").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        moved = _moved(written(frequent(first.unionByName(behind).groupBy("key").agg(F.sum("c").alias("c")), "c"), "jaccard-frequent"))
         again = written(touched(moved), "jaccard-touched")
         sent = spark.sparkContext.broadcast(moved)
 
@@ -231,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             m = sent.value
             for b, sets in _texts(batches):
                 keys = [keys_of(in_order(s, m)) if len(s) else s.astype(np.int32) for s in sets]
-                late = [np.isin(k, m) for k in keys]
+                late = [among(k, m) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists([k[~x] for k, x in zip(keys, late)], np.int32), _lists([k[x] for k, x in zip(keys, late)], np.int32)],
                     ["doc", "d", "light", "late"],
@@ -374,11 +379,20 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _texts(batches):
-        if sets:
-            k, c = np.unique(np.concatenate([keys_of(s) for s in sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["key", "c"])
+def _next_keys(sent):
+    """Keys behind the prefix of each set: three for each moved one within it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved = sent.value
+        for _, sets in _texts(batches):
+            out = [np.zeros(0, np.int32)]
+            for s in sets:
+                if len(s):
+                    k, p = keys_of(s), prefix_length(len(s))
+                    out.append(k[p : p + 3 * int(among(k[:p], moved).sum())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["key"])
+
+    return run
 
 
 def dense_groups(late: DataFrame) -> DataFrame:
