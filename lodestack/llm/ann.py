@@ -26,11 +26,11 @@ from lodestack.llm.vectors import matrix, usable, with_same_dim
 
 #: The most rows that the splits are fitted on; index and search cover all rows.
 SAMPLE = 1 << 16
-TREES = 12
+TREES = 10
 #: Sampled rows of a leaf.
-LEAF = 48
+LEAF = 512
 #: A query stops taking leaves once they hold this many rows, trees together.
-SEARCH = 6_000
+SEARCH = 40_000
 #: Rows of a leaf that one group ranks; larger leaves are dealt over several groups.
 BLOCK = 4_096
 
@@ -93,7 +93,7 @@ class Tree:
 
 def search(forest: list[Tree], sizes: dict[tuple[int, int], int], q: np.ndarray, enough: int) -> list[tuple[int, int]]:
     """Leaves (tree, leaf) in the order of the shared queue until they hold ``enough`` rows."""
-    heap = [(-np.inf, t, tree.root) for t, tree in enumerate(forest)]
+    heap = [(0.0, t, tree.root) for t, tree in enumerate(forest)]
     margins = [(tree.normal_ @ q - tree.offset).tolist() if len(tree.normal_) else [] for tree in forest]
     found, out = 0, []
     while heap and found < enough:
@@ -102,7 +102,7 @@ def search(forest: list[Tree], sizes: dict[tuple[int, int], int], q: np.ndarray,
         while node >= 0:
             m = margins[t][node]
             near = kids[node][m > 0]
-            heapq.heappush(heap, (max(d, abs(m)), t, kids[node][m <= 0]))
+            heapq.heappush(heap, (d + m * m, t, kids[node][m <= 0]))
             node = near
         leaf = -1 - node
         if n := sizes.get((t, leaf), 0):
@@ -167,22 +167,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         cv = np.array(c["v"].tolist(), np.float64)
-        out_q, out_v, out_s = [], [], []
+        per = c["ids"].map(len).to_numpy()
+        flat, starts = np.concatenate(c["ids"].tolist()), np.r_[0, np.cumsum(per)[:-1]]
+        qid, out = q["id"].to_numpy(), []
         for lo in range(0, len(q), 512):
-            part = q.iloc[lo : lo + 512]
-            scores = np.array(part["v"].tolist(), np.float64) @ cv.T
-            keep = min(len(c), k + 1)
-            # ties at the edge all stay; the final ranking resolves them
-            edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-            for i, (qid, e) in enumerate(zip(part["id"], edge, strict=True)):
-                hit = np.flatnonzero(scores[i] >= e - 1e-9)
-                for j in hit:
-                    for vid in c["ids"].iat[j]:
-                        if vid != qid:
-                            out_q.append(qid), out_v.append(vid), out_s.append(scores[i, j])
-        got = pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s})
-        got = got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return got.groupby("query_id").head(k)
+            scores = np.array(q["v"].iloc[lo : lo + 512].tolist(), np.float64) @ cv.T
+            edge = -np.partition(-scores, min(len(c), k + 1) - 1, axis=1)[:, min(len(c), k + 1) - 1]
+            i, j = np.nonzero(scores >= edge[:, None])  # ties at the edge all stay; the last ranking resolves them
+            n = per[j]
+            at = np.repeat(starts[j] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            out.append(pd.DataFrame({"query_id": np.repeat(qid[lo + i], n), "vec_id": flat[at], "score": np.repeat(scores[i, j], n)}))
+        got = pd.concat(out)
+        return got[got["query_id"] != got["vec_id"]]
 
     pairs = asked.groupBy("tree", "leaf", "part").cogroup(dealt.groupBy("tree", "leaf", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
