@@ -136,14 +136,20 @@ def train(texts: list[str], langs: list[str]) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Train on at most ``per_language`` rows of each language outside the
     held-out third, those whose id hashes lowest. None without such rows."""
+    spark = docs.sparkSession
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    ids = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).withColumn("r", rank).where(F.col("r") <= per_language).drop("r").limit(per_language * MAX_LANGUAGES + 1).collect()
-    if len(ids) > per_language * MAX_LANGUAGES:
+    counts = rows.groupBy(F.col(lang_col).alias("l")).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not ids:
+    if not counts:
         return None
-    table = F.broadcast(docs.sparkSession.createDataFrame(ids, "i " + rows.schema[id_col].dataType.simpleString() + ", l string").distinct())
+    # A bar on the hash leaves some more rows than are wanted before they are ranked.
+    enough = per_language + 6 * per_language**0.5 + 50
+    bars = spark.createDataFrame([(r.l, int(min(1.0, enough / r["count"]) * (1 << 64)) - (1 << 63) - 1) for r in counts], "l string, bar long")
+    few = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).join(F.broadcast(bars), "l").where(F.xxhash64("i") <= F.col("bar"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    ids = few.withColumn("r", rank).where(F.col("r") <= per_language).select("i", "l").collect()
+    table = F.broadcast(spark.createDataFrame(ids, "i " + rows.schema[id_col].dataType.simpleString() + ", l string").distinct())
     got = rows.join(table, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("i", "l", F.col(text_col).alias("t"))
     got = sorted(got.limit(len(ids)).collect(), key=lambda r: (r.i, r.t))
     return train([r.t for r in got], [r.l for r in got])
