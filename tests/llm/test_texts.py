@@ -214,11 +214,23 @@ def test_toxicity_held_out_accuracy(spark, labelled):
 
 def test_toxicity_pools_over_whole_texts(monkeypatch):
     rng = np.random.default_rng(0)
-    tables = [[rng.normal(size=(50, 3)).astype(np.float32) for _ in range(w)] for w in (1, 2, 3)]
+    parts = rng.normal(size=(50, len(toxicity.PARTS) * toxicity.FILTERS)).astype(np.float32)
+    parts[0] = 0
     ids = rng.integers(1, 50, 200)
-    whole, _ = toxicity.pooled(tables, ids)
+    whole, _ = toxicity.pooled(parts, ids)
     monkeypatch.setattr(toxicity, "CHUNK", 7)
-    assert np.allclose(whole, toxicity.pooled(tables, ids)[0])
+    assert np.allclose(whole, toxicity.pooled(parts, ids)[0])
+
+
+def test_toxicity_scores_long_texts_piece_by_piece(monkeypatch):
+    rows = corpus(random.Random(10), 300)
+    model = toxicity.train([r[1] for r in rows], np.array([r[4] for r in rows]), epochs=1)
+    text = " ".join(r[1] for r in rows[:20])
+    whole = toxicity.score_text(toxicity.Words(model), text)
+    monkeypatch.setattr(toxicity, "CHUNK", 11)
+    monkeypatch.setattr(toxicity, "CACHE", 40)
+    pieces = toxicity.score_text(toxicity.Words(model), text)
+    assert abs(whole[0] - pieces[0]) < 1e-4 and whole[1] == pieces[1]
 
 
 def test_quality_shrinks_sparse_sites(spark, labelled):
