@@ -25,7 +25,9 @@ from lodestack.llm._shared import shared_dir, written
 LEAST_PAYLOAD = 100
 #: Bytes of payload that go to one archive, about; bounds a reading task's memory.
 ARCHIVE_BYTES = 8 << 20
-#: Rows of the table of first captures are repeated so often, to spread a hot payload.
+#: First captures of repeated payloads up to this many are broadcast (about 100 bytes each).
+BROADCAST_ROWS = 200_000
+#: Beyond that, rows of the table of first captures are repeated so often, to spread a hot payload.
 SALTS = 16
 CRLF = "\r\n"
 
@@ -43,9 +45,13 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
     narrow = pages.select(F.col(id_col).alias("id"), F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest"))
     firsts = narrow.where(F.col("n") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    firsts = firsts.where("first_id < last_id").select(F.col("digest").alias("__digest"), "first_id")
-    firsts = firsts.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.join(firsts, (F.col("payload_digest") == F.col("__digest")) & (F.col("__salt") == F.col("__s")), "left")
+    firsts = written(firsts.where("first_id < last_id").select(F.col("digest").alias("__digest"), "first_id"), "warc-firsts")
+    same = F.col("payload_digest") == F.col("__digest")
+    if firsts.count() <= BROADCAST_ROWS:  # payloads stay where they are
+        out = rows.withColumn("__s", F.lit(0)).join(F.broadcast(firsts), same, "left")
+    else:
+        firsts = firsts.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.join(firsts, same & (F.col("__salt") == F.col("__s")), "left")
     first = F.when(F.col("first_id") < F.col(id_col), F.col("first_id"))
     return out.withColumn("first_id", first).drop("__digest", "__s", "__salt")
 
@@ -64,14 +70,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Write each row's request, response (or revisit) and metadata records.
 
     The three records of a row are written by one task, next to each other. Ids
-    of rows need not be unique: record ids come from the row's place.
+    of rows need not be unique: record ids come from the row's place. Archives
+    are gzip files; a limit on their records keeps them near ``ARCHIVE_BYTES``.
     """
-    spark = pages.sparkSession
     rows = classify(pages.select(id_col, url_col, payload_col), id_col, payload_col)
-    total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    parts = max(1, -(-total // ARCHIVE_BYTES), spark.sparkContext.defaultParallelism)
+    n, total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(payload_col))).first()
+    records = 3 * max(1, int(ARCHIVE_BYTES * n / max(1, (total or 0) + 1000 * n)))
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = written(rows, "captures").repartition(int(parts))
     rows = rows.withColumn("__at", F.monotonically_increasing_id())
     page = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     name = lambda kind: F.concat(F.lit(f"<urn:capture:{kind}:"), page, F.lit(":"), F.col("__at").cast("string"), F.lit(">"))
@@ -95,7 +100,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         [("WARC-Type", "metadata"), ("WARC-Record-ID", name("metadata")), ("WARC-Concurrent-To", main), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/warc-fields")],
         F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col(id_col).cast("string"), F.lit(CRLF)), F.lit("")), F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)),
     )
-    rows.select(F.explode(F.array(request, response, meta)).alias("value")).write.option("lineSep", CRLF).text(path)
+    rows.select(F.explode(F.array(request, response, meta)).alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", records).text(path, compression="gzip")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
