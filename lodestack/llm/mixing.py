@@ -7,7 +7,7 @@ for each integer boundary that its stretch of the sum crosses. Positions are
 fixed-point integers, so reruns agree and no rounding can add a copy.
 
 The prefix sum is two-level: documents fall into cells (source, size class,
-hash bucket) whose number follows the number of documents; a cell is numbered
+hash bucket) whose number follows the source's documents; a cell is numbered
 by a window, and the cells' counts are summed over each source. No task sees a
 whole source, however large its share. Ordering by size class keeps the taken
 words close to the target, because every class gives its exact share.
@@ -25,8 +25,8 @@ from lodestack.llm._shared import WORD
 
 #: Fixed-point bits of a rate; positions stay in 64 bits up to 2**35 documents a source.
 BITS = 28
-#: Documents a cell has on average before hashing splits it further.
-CELL = 1 << 14
+#: Documents of a source for each hash bucket.
+CELL = 1 << 11
 #: Proven bound of what is collected and broadcast: one row a source.
 MAX_SOURCES = 100_000
 
@@ -75,13 +75,12 @@ def mix(docs: DataFrame, id_col: str, size_col: str, source_col: str, cycle=(3,
     for i, (r, (num, den)) in enumerate(zip(per, targets, strict=True)):
         rate = (num << BITS) // (den * r["size"]) if r["size"] else 0
         offset = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:7], 16)
-        rows.append((r.s, i, r["size"], num / den, rate, offset))
+        rows.append((r.s, i, r["size"], num / den, rate, offset, -(-r.n // CELL)))
     kind = docs.schema[source_col].dataType.simpleString()
-    table = spark.createDataFrame(rows, f"__mix_s {kind}, __mix_i int, source_size long, target double, __mix_rate long, __mix_u long")
-    buckets = -(-sum(r.n for r in per) // CELL) or 1
+    table = spark.createDataFrame(rows, f"__mix_s {kind}, __mix_i int, source_size long, target double, __mix_rate long, __mix_u long, __mix_k long")
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     base = docs.drop("source_size", "target", "copies", "taken").join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__mix_s")))
-    base = base.withColumns({"__mix_n": size, "__mix_c": F.length(F.bin(size)), "__mix_b": F.pmod(key, F.lit(buckets))})
+    base = base.withColumns({"__mix_n": size, "__mix_c": F.length(F.bin(size)), "__mix_b": F.pmod(key, F.col("__mix_k"))})
     cell = ["__mix_i", "__mix_c", "__mix_b"]
     before = Window.partitionBy("__mix_i").orderBy("__mix_c", "__mix_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = base.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_o"))

@@ -79,7 +79,7 @@ _OP1 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS i
+  SELECT source, sum(size)::BIGINT AS source_size, (count(*) + {mixing.CELL - 1}) // {mixing.CELL} AS k, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS i
   FROM d GROUP BY source
 ), w AS (
   SELECT *, [3, 1, 2][(i % 3 + 1)::INT]::BIGINT AS weight, (SELECT 3 * sum(source_size) FROM s)::BIGINT AS budget2 FROM s
@@ -93,18 +93,16 @@ WITH RECURSIVE d AS (
   SELECT min_by(left2, (source_size::HUGEINT * 1000000000000 // weight, i)) AS left2, min_by(left_weight, (source_size::HUGEINT * 1000000000000 // weight, i)) AS left_weight
   FROM level WHERE NOT (weight::HUGEINT * left2 > 4::HUGEINT * source_size * left_weight)
 ), t AS (
-  SELECT l.source, l.i, l.source_size,
+  SELECT l.source, l.i, l.k, l.source_size,
     CASE WHEN l.source_size = 0 THEN 0 WHEN l.weight::HUGEINT * f.left2 > 4::HUGEINT * l.source_size * f.left_weight THEN 2 * l.source_size ELSE l.weight * f.left2 END AS num,
     CASE WHEN l.source_size = 0 OR l.weight::HUGEINT * f.left2 > 4::HUGEINT * l.source_size * f.left_weight THEN 1 ELSE 2 * f.left_weight END AS den
   FROM level l, free f
 ), r AS (
   SELECT *, num::DOUBLE / den::DOUBLE AS target, CASE WHEN source_size = 0 THEN 0 ELSE (num::HUGEINT * {1 << mixing.BITS} // (den::HUGEINT * source_size))::BIGINT END AS rate,
     ('0x' || substr(md5('mix:' || i), 1, 7))::BIGINT AS u FROM t
-), n AS (
-  SELECT (count(*) + {mixing.CELL - 1}) // {mixing.CELL} AS k FROM d
 ), p AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.rate, r.u,
-    row_number() OVER (PARTITION BY r.i ORDER BY length(bin(d.size)), ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT k FROM n), d.size, d.doc_id NULLS FIRST) AS pos
+    row_number() OVER (PARTITION BY r.i ORDER BY length(bin(d.size)), ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % r.k, d.size, d.doc_id NULLS FIRST) AS pos
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 )
 SELECT doc_id, size, source_size, target,
