@@ -166,3 +166,25 @@ def bloom_has(filter_: Column, functions: Column, path: Column) -> Column:
         return pd.Series([one(*x) for x in zip(f, k, p)])
 
     return run(filter_, functions, path)
+
+
+def access_profiles(rows, key: list[str], path: str, bits: int, functions: int):
+    """Bloom filters of the paths of each key. Bit positions are made distinct before
+    they are gathered: a group holds at most ``bits`` numbers, however many paths."""
+
+    @F.pandas_udf("array<int>")
+    def positions(p: pd.Series) -> pd.Series:
+        return p.map(lambda x: [] if x is None else bloom_positions(x, bits, functions))
+
+    @F.pandas_udf("binary")
+    def packed(s: pd.Series) -> pd.Series:
+        def one(at: np.ndarray) -> bytes:
+            value = 1 << bits
+            for i in at:
+                value |= 1 << int(i)
+            return value.to_bytes(bits // 8 + 1, "little")
+
+        return s.map(one)
+
+    each = rows.select(*key, F.explode(positions(F.col(path))).alias("bit")).distinct()
+    return each.groupBy(*key).agg(F.collect_list("bit").alias("bits")).select(*key, packed(F.col("bits")).alias("bloom_filter"), F.lit(functions).alias("bloom_filter_hash_functions"))

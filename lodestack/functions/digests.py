@@ -150,3 +150,9 @@ def zigzag_varint(n: Column) -> Column:
 def compact(function_value_: Column, hash_: Column, size: Column) -> Column:
     """Function byte, hash bytes, zig-zag varint size."""
     return F.concat(F.unhex(F.lpad(F.hex(function_value_.cast("long")), 2, "0")), F.unhex(hash_), zigzag_varint(size))
+
+
+def reduced_action(command_hash: Column, platform: Column) -> Column:
+    """Digest of an action's command and platform alone; ``platform`` is a map, whose
+    order does not matter."""
+    return F.sha2(F.to_json(F.struct(command_hash.alias("command"), F.array_sort(F.map_entries(platform)).alias("platform"))).cast("binary"), 256)

@@ -106,3 +106,25 @@ def get_from_composite(pairs: DataFrame, index: DataFrame, store: DataFrame) ->
     out = out.withColumn("status", F.when(F.col("offset_bytes").isNull(), status("NOT_FOUND", NOT_FOUND)).otherwise(sound))
     cut = F.substr("data", F.col("offset_bytes").cast("int") + 1, F.col("size_bytes").cast("int"))
     return out.withColumn("data", F.when(F.col("status").isNull(), cut)).drop("__size")
+
+
+def content_rows(values: DataFrame, data: str, function: str = "SHA256") -> DataFrame:
+    """Values as blobs under the key of their own bytes."""
+    return values.select(F.lit(function).alias("function"), digests.hash_of(data, function).alias("hash"), digests.size_of(data).alias("size_bytes"), digests.as_bytes(data).alias("data"))
+
+
+def typed(rows: DataFrame, schema: str, value: str = "data", source: str = "backend") -> DataFrame:
+    """Rows with ``message``: their bytes read as a JSON document of ``schema``. What
+    does not parse becomes a status: the user's fault or the store's."""
+    code = "INVALID_ARGUMENT" if source == "user" else "INTERNAL"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed = F.from_json(F.col(value).cast("string"), f"{schema}, __bad string", options)
+    out = rows.withColumn("__m", parsed)
+    bad = F.col(value).isNotNull() & (F.col("__m").isNull() | F.col("__m.__bad").isNotNull())
+    out = out.withColumn("status", F.coalesce(F.col("status"), F.when(bad, status(code, "Failed to unmarshal message")).otherwise(ok())))
+    return out.withColumn("message", F.when(F.col("status").isNull(), F.col("__m").dropFields("__bad"))).drop("__m")
+
+
+def observed(rows: DataFrame, name: str, value: str = "size_bytes") -> DataFrame:
+    """The same rows, counted on the way: read the figures from the query's listener."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.sum(value).alias(value))

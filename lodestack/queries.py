@@ -672,6 +672,17 @@ def replicate_once(spark, sf_dir):
     return folds.replicate_once(sets.without_empty(requested(spark, sf_dir)), mirror(spark, sf_dir, 0), KEY)
 
 
+@query(f"""WITH v AS (SELECT arg_max(event_type <> 'error', (ts, event_id)) AS healthy, max(epoch_us(ts)) AS seen, user_id FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)
+SELECT event_id, CASE WHEN seen IS NULL OR seen + {30 * DAY * 10**6} <= (SELECT max(epoch_us(ts)) FROM events) THEN 'canary' WHEN healthy THEN 'replica' ELSE 'source' END AS backend FROM events LEFT JOIN v USING (user_id)""")
+def canary_route(spark, sf_dir):
+    """Requests by the verdict that their tenant's last event left."""
+    e = events(spark, sf_dir)
+    now = e.agg(F.max("us")).first()[0]
+    health = e.where("user_id % 3 <> 0").groupBy("user_id").agg(F.max_by(F.col("event_type") != "error", F.struct("ts", "event_id")).alias("healthy"), (F.max("us") + 30 * DAY * 10**6).alias("expires_at"))
+    rows = e.select("event_id", F.col("user_id").alias("instance_name"))
+    return combinators.canary_route(rows, health.withColumnRenamed("user_id", "instance_name"), F.lit(now)).select("event_id", "backend")
+
+
 # Sources, documents, tokens, plans -------------------------------------------------------------------------
 
 
@@ -743,3 +754,33 @@ def sharded_find_missing(spark, sf_dir):
     """The same mirror asked through five shards."""
     plan = {"sharding": {k: {"weight": w, "backend": {"local": "a"}} for k, w in SHARDS.items()}}
     return build(plan, {"a": mirror(spark, sf_dir, 0)}).find_missing(sets.without_empty(requested(spark, sf_dir)))
+
+
+@query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")
+def typed_decode(spark, sf_dir):
+    """The log's documents, read as messages of a fixed shape."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").cast("binary").alias("data"), F.expr("cast(null as struct<code:string,message:string>)").alias("status"))
+    return stores.typed(rows, "k int").select("event_id", F.col("message.k").alias("k"))
+
+
+@query("SELECT DISTINCT 'SHA256' AS function, sha256(p_name || p_brand) AS hash, octet_length(encode(p_name || p_brand))::BIGINT AS size_bytes FROM part")
+def content_put(spark, sf_dir):
+    """Values stored under the key of their own bytes."""
+    values = table(spark, sf_dir, "part").select(F.concat("p_name", "p_brand").alias("v"))
+    return stores.content_rows(values, "v").select(*KEY).distinct()
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def access_profile_bloom(spark, sf_dir):
+    """File access profiles: each tenant's filter holds all paths that it has opened."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("path"))
+    made = binary.access_profiles(rows, ["user_id"], "path", 8191, 3)
+    lost = rows.join(made, "user_id").where(~binary.bloom_has(F.col("bloom_filter"), F.col("bloom_filter_hash_functions"), F.col("path")))
+    return made.select("user_id").join(lost.select("user_id").distinct(), "user_id", "left_anti")
+
+
+@query("SELECT count(DISTINCT (o_orderpriority, o_custkey % 7)) AS n FROM orders")
+def reduced_action_digest(spark, sf_dir):
+    """Actions that differ in command and platform only where their digests do."""
+    platform = F.create_map(F.lit("os"), F.col("o_orderpriority"), F.lit("arch"), (F.col("o_custkey") % 7).cast("string"))
+    return table(spark, sf_dir, "orders").select(digests.reduced_action(F.lit("c"), platform).alias("d")).distinct().agg(F.count(F.lit(1)).alias("n"))

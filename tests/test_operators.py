@@ -221,3 +221,27 @@ def test_plans(spark):
     for bad in ({"local": "z"}, {"label": "m"}, {"what": 1}, {"with_labels": {"labels": {"m": {"local": "x"}}, "backend": {"with_labels": {"labels": {"m": {"local": "y"}}, "backend": {"label": "m"}}}}}):
         with pytest.raises(ValueError):
             build(bad, t)
+
+
+def test_state_versions(spark, tmp_path):
+    from lodestack.sources import state
+
+    path = str(tmp_path / "state")
+    assert state.latest(spark, path) is None
+    for v in (1, 2, 10):
+        state.save(spark.range(v), path, v)
+    assert state.latest(spark, path).count() == 10 and state.expire(spark, path, 1) == [1, 2]
+
+
+def test_typed_and_content(spark):
+    rows = spark.createDataFrame([(1, b'{"k": 5}'), (2, b"junk"), (3, None)], "i int, data binary").withColumn("status", ok())
+    got = {r.i: (r.message and r.message.k, r.status and r.status.code) for r in stores.typed(rows, "k int").collect()}
+    assert got == {1: (5, None), 2: (None, "INTERNAL"), 3: (None, None)}
+    assert texts(stores.content_rows(spark.createDataFrame([("a",)], "v string"), "v")) == ["a"]
+
+
+def test_canary_routes(spark):
+    req = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "instance_name string")
+    health = spark.createDataFrame([("a", True, 10), ("b", False, 10), ("c", True, 5)], "instance_name string, healthy boolean, expires_at int")
+    got = {r.instance_name: r.backend for r in combinators.canary_route(req, health, F.lit(5)).collect()}
+    assert got == {"a": "replica", "b": "source", "c": "canary", "d": "canary"}
