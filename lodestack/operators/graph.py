@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.session import written
 
-def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+
+def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """All nodes that seeds reach, seeds included, each once.
 
-    ``seeds``: ``node``; ``edges``: ``parent, child``. A recursive query carries
-    only the frontier; depth is that of the graph, and a repeated node ends there.
+    ``seeds``: ``node``; ``edges``: ``parent, child``. One round a level: the
+    frontier meets the edges, and what no earlier level holds is the next
+    frontier, written down so that a round costs its own join only. Cycles and
+    diamonds end by themselves. (A recursive query would keep repeated nodes and
+    is limited in rows.)
     """
-    spark = seeds.sparkSession
-    seeds.select("node").distinct().createOrReplaceTempView("__closure_seeds")
-    edges.select("parent", "child").distinct().createOrReplaceTempView("__closure_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE reach(node) MAX RECURSION LEVEL 1000 AS (
-          SELECT node FROM __closure_seeds
-          UNION ALL
-          SELECT DISTINCT e.child FROM reach r JOIN __closure_edges e ON r.node = e.parent
-        )
-        SELECT DISTINCT node FROM reach
-        """
-    )
+    edges = written(edges.select("parent", "child").distinct(), "closure-edges")
+    frontier = written(seeds.select("node").where("node is not null").distinct(), "closure-level")
+    seen = frontier
+    for _ in range(max_depth):
+        reached = edges.join(frontier, F.col("parent") == F.col("node"), "left_semi").select(F.col("child").alias("node")).distinct()
+        frontier = written(reached.where("node is not null").join(seen, "node", "left_anti"), "closure-level")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"more than {max_depth} levels")
 
 
 def copy_plan(seeds: DataFrame, edges: DataFrame, sink: DataFrame) -> DataFrame:

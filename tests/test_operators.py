@@ -128,7 +128,7 @@ def test_metrics(spark):
 
 
 def test_graph(spark):
-    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "y")], "parent string, child string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("x", "y")], "parent string, child string")
     seeds = spark.createDataFrame([("a",), ("a",)], "node string")
     assert sorted(r.node for r in graph.closure(seeds, edges).collect()) == list("abcd")
     sink = spark.createDataFrame([("b",)], "node string")
