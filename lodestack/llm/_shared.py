@@ -1,43 +1,17 @@
-"""Helpers shared by the training-data operators: the shared folder, tables
-written in it, bounded training samples and connected components."""
+"""Helpers shared by the training-data operators: bounded training samples and
+connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Whitespace that separates words everywhere in this subpackage.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from lodestack.session import shared_dir, written
 
-    Only where the session names none (tests, a laptop) a temporary folder
-    takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext.getCheckpointDir()
-        base = current or tempfile.mkdtemp(prefix="lodestack-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+__all__ = ["bounded_sample", "connected_components", "held_out", "shared_dir", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, never a recomputation of
-    what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Whitespace that separates words everywhere in this subpackage.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def held_out(id_col: str | Column) -> Column:
