@@ -26,6 +26,8 @@ from lodestack.llm.vectors import matrix, usable, with_same_dim
 
 #: The most rows that the splits are fitted on; index and search cover all rows.
 SAMPLE = 1 << 16
+#: Bytes of that sample at most: fewer rows where vectors are long.
+SAMPLE_BYTES = 64 << 20
 TREES = 10
 #: Sampled rows of a leaf.
 LEAF = 512
@@ -127,9 +129,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     one = one.groupBy("h").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
     one = written(one.select(F.col("ids")[0].alias("rep"), "ids", "v"), "ann-rows")
     result = "query_id long, rank int, vec_id long, score double"
-    total, top = one.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    total, top, dim = one.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
     if not total:
         return spark.createDataFrame([], result)
+    sample = min(sample, max(2, SAMPLE_BYTES // (8 * dim)))
     fit = one.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
     x = lift(matrix(fit["v"]), top).astype(np.float32)
     rng = np.random.default_rng(seed)
