@@ -3,17 +3,46 @@ connected components."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.session import shared_dir, written
 
-__all__ = ["bounded_sample", "connected_components", "held_out", "shared_dir", "written"]
+__all__ = ["bounded_sample", "connected_components", "held_out", "kept", "shared_dir", "text_batches", "tidy", "written"]
 
 #: Whitespace that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch of whole texts, where the session does not say otherwise.
+TEXT_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_slot: dict = {}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in smaller batches than narrow rows."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, TEXT_ROWS)
+
+
+def kept(key: str, make):
+    """What a Python worker builds once and keeps for its later tasks. It keeps one
+    thing at a time: the next operator's takes the place of the last one's."""
+    if _slot.get("key") != key:
+        _slot.clear()
+        _slot.update(key=key, value=make())
+    return _slot["value"]
+
+
+def tidy(batches):
+    """The batches, and afterwards Arrow's unused memory back to the system: workers
+    outlive their tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(id_col: str | Column) -> Column:
     """True for the third of the rows that no model may learn from."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm._shared import kept, text_batches, tidy
+
 #: Distinct words kept by a Python worker in each of two generations.
-CACHE = 200_000
+CACHE = 100_000
 #: Words of more bytes are merged through a heap, not by rescanning the pairs.
 LONG = 64
-_worker: dict = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -125,14 +126,6 @@ class _Encoder:
         return b"".join(out)
 
 
-def _once(key, make):
-    """What a Python worker builds once and keeps for its later tasks."""
-    if _worker.get("key") != key:
-        _worker.clear()
-        _worker.update(key=key, value=make())
-    return _worker["value"]
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` plus ``ids`` (binary, little-endian unsigned 32-bit) of each whole text.
 
@@ -146,12 +139,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     fields = ", ".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _once(key, lambda: _Encoder(sent.value, pattern))
+        enc = kept(key, lambda: _Encoder(sent.value, pattern))
         for b in batches:
             ids = pa.array([enc(t.as_py()) for t in b.column("t")], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
 
-    out = src.mapInArrow(run, f"{fields}{', ' if keep else ''}ids binary")
+    text_batches(docs.sparkSession)
+    out = src.mapInArrow(lambda it: tidy(run(it)), f"{fields}{', ' if keep else ''}ids binary")
     return out.toDF(*keep, "ids")
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, written
+from lodestack.llm._shared import connected_components, kept, text_batches, written
 
 WORDS = 5
 #: Sets up to this size may be small; the cost model picks the boundary below it.
@@ -51,7 +51,6 @@ ENTRIES = 1_000_000
 CACHE = 300_000
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_worker: dict = {}
 
 
 def _final(h: np.ndarray) -> np.ndarray:
@@ -136,7 +135,7 @@ def parities_apart(a: bytes, b: bytes) -> int:
 
 
 def _hashes() -> _Hashes:
-    return _worker.setdefault("hashes", _Hashes())
+    return kept("jaccard-hashes", _Hashes)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -149,6 +148,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             if size > 2_000_000 or i + 1 == b.num_rows:
                 yield b.slice(lo, len(sets)), sets
                 lo, sets, size = i + 1, [], 0
+    pa.default_memory_pool().release_unused()
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are one node, with the links of all their texts. Ids are integers.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sig = written(text.mapInArrow(signatures, SIGNATURE), "jaccard-signatures")
     linkable = sig.where("doc is not null and n > 0")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import held_out
+from lodestack.llm._shared import held_out, text_batches, tidy
 
 #: Rows of each language that training reads at most, and languages at most.
 PER_LANGUAGE, MAX_LANGUAGES = 800, 200
@@ -176,7 +176,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
                         lang[lo + i], score[lo + i] = g, s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    return src.mapInArrow(run, fields).toDF(*keep, "lang_pred", "score")
+    text_batches(docs.sparkSession)
+    return src.mapInArrow(lambda it: tidy(run(it)), fields).toDF(*keep, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import bounded_sample, held_out, written
+from lodestack.llm._shared import bounded_sample, held_out, text_batches, tidy, written
 
 #: Labelled rows that training reads at most.
 SAMPLE = 6_000
@@ -82,7 +82,8 @@ def evidence(docs: DataFrame, fitted: tuple, keep: list[Column], text_col: str)
             p = 1 / (1 + np.exp(-np.clip(expand((x - mean) / scale) @ w, -12, 12)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*b.schema.names[:-1], "p"])
 
-    return src.mapInArrow(run, fields)
+    text_batches(docs.sparkSession)
+    return src.mapInArrow(lambda it: tidy(run(it)), fields)
 
 
 def logit(p: Column) -> Column:

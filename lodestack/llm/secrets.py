@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm._shared import text_batches, tidy
+
 # The three base kinds, in the order in which ties are listed.
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,7 +133,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
             cols = [*b.columns[:-1], pa.array(spans, _ARROW)] + [pa.array(texts, pa.string())] * masked
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "spans"] + ["masked"] * masked)
 
-    return src.mapInArrow(run, ", ".join(fields)).toDF(*keep, "spans", *["masked"] * masked)
+    text_batches(docs.sparkSession)
+    return src.mapInArrow(lambda it: tidy(run(it)), ", ".join(fields)).toDF(*keep, "spans", *["masked"] * masked)
 
 
 def digest_columns(found: DataFrame, id_col: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import bounded_sample, held_out
+from lodestack.llm._shared import bounded_sample, held_out, kept, text_batches, tidy
 
 #: Labelled rows that training reads at most.
 SAMPLE = 6_000
@@ -278,21 +278,15 @@ def score_texts(docs: DataFrame, model: Cnn, keep: list[str], text_col: str = "t
     lift = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lodestack.llm.toxicity import _worker
-
-        if _worker.get("key") != key:
-            _worker.update(key=key, words=Words(sent.value))
-        words = _worker["words"]
+        words = kept(key, lambda: Words(sent.value))
         for b in batches:
             got = [score_text(words, t.as_py()) for t in b.column("t")]
             z = np.array([x - words.model.shift[g] + lift for x, g in got])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    return src.mapInArrow(run, fields).toDF(*keep, "score")
-
-
-_worker: dict = {}
+    text_batches(docs.sparkSession)
+    return src.mapInArrow(lambda it: tidy(run(it)), fields).toDF(*keep, "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Cnn:

@@ -139,7 +139,7 @@ def test_nearest_recall_ties_and_edges(spark):
     x[40:80] = x[40]  # forty equal vectors
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5001, [0.0] * 24), (5002, [float("inf")] * 24), (None, [1.0] * 24), (5003, [1.0])]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "vec_id long, embedding array<float>, score double")
-    out = ann.nearest(df, df.where("vec_id % 20 = 0"), 20, enough=600).collect()
+    out = ann.nearest(df, df.where("vec_id % 20 = 0"), 20, leaf=32, enough=3000).collect()
     got = {}
     for r in out:
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
