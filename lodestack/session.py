@@ -50,3 +50,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that :func:`written` left in the shared folder. For the end of
+    an application, when the results that read them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestack")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
