@@ -3,7 +3,8 @@
 Names of the nodes are those of the store configurations that the combinators
 mirror. A node answers ``find_missing`` and ``get`` and lists its ``effects``
 (rows that a run would write). Catalyst plans what comes out; this module only
-composes.
+composes. Tenanted nodes (``demultiplexing``, ``hierarchical_instance_names``) ask with
+``instance_name`` beside the key.
 """
 
 from __future__ import annotations
@@ -87,6 +88,26 @@ def build(spec: dict, tables: dict[str, DataFrame], labels: dict[str, Node] | No
         for n in nodes.values():
             held = n.held if held is None else held.unionByName(n.held)
         return Node(held, missing)
+    if kind == "hierarchical_instance_names":
+        n = sub(v)
+        return Node(n.held, lambda r: combinators.ancestors_find_missing(r.where("size_bytes <> 0"), n.held, KEY))
+    if kind == "demultiplexing":
+        nodes = {prefix: sub(s["backend"]) for prefix, s in v.items()}
+
+        def routed(r: DataFrame) -> DataFrame:
+            routes = r.sparkSession.createDataFrame([(p, p, s.get("new_prefix", p)) for p, s in v.items()], "prefix string, backend string, new_prefix string")
+            return combinators.route(r.select("instance_name", *KEY).distinct(), routes)
+
+        def missing(r: DataFrame) -> DataFrame:
+            dealt, out = routed(r), None
+            for prefix, n in nodes.items():
+                own = dealt.where(F.col("backend") == prefix).select(F.col("instance_name").alias("__outer"), F.col("inner_name").alias("instance_name"), *KEY)
+                gone = n.find_missing(own.drop("__outer"))
+                part = own.join(gone, gone.columns, "left_semi").select(F.col("__outer").alias("instance_name"), *KEY)
+                out = part if out is None else out.unionByName(part)
+            return out
+
+        return Node(next(iter(nodes.values())).held, missing, {"unroutable": lambda r: routed(r).where("backend is null").select("instance_name", *KEY)})
     raise ValueError(f"INVALID_ARGUMENT: unknown kind {kind!r}")
 
 

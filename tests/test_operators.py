@@ -218,6 +218,16 @@ def test_plans(spark):
     shard = build({"sharding": {"p": {"weight": 1, "backend": {"local": "x"}}, "q": {"weight": 3, "backend": {"local": "x"}}}}, t)
     assert texts(shard.find_missing(req)) == ["b", "c"]
     assert sum(r.status is None for r in node.get(req.drop("data")).collect()) == 2
+    tenant = lambda df, n: df.withColumn("instance_name", F.lit(n))
+    t |= {"root": tenant(blobs(spark, "a"), ""), "own": tenant(blobs(spark, "b"), "x/b")}
+    tree = {"hierarchical_instance_names": {"local": "root"}}
+    assert texts(build(tree, t).find_missing(tenant(blobs(spark, "a", "b"), "p/q"))) == ["b"]
+    routes = build({"demultiplexing": {"a": {"backend": tree, "new_prefix": "x"}, "a/b": {"backend": {"local": "y"}}}}, t)
+    asked = tenant(blobs(spark, "a", "b"), "a/c").unionByName(tenant(blobs(spark, "a", "b"), "a/b")).unionByName(tenant(blobs(spark, "a"), "zz"))
+    got = sorted((r.instance_name, r.hash) for r in routes.find_missing(asked).collect())
+    ha, hb = (hashlib.sha256(c).hexdigest() for c in (b"a", b"b"))
+    assert got == sorted([("a/c", hb), ("a/b", ha)])
+    assert [r.instance_name for r in routes.effects["unroutable"](asked).collect()] == ["zz"]
     for bad in ({"local": "z"}, {"label": "m"}, {"what": 1}, {"with_labels": {"labels": {"m": {"local": "x"}}, "backend": {"with_labels": {"labels": {"m": {"local": "y"}}, "backend": {"label": "m"}}}}}):
         with pytest.raises(ValueError):
             build(bad, t)
