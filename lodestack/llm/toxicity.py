@@ -32,7 +32,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 6
 THRESHOLD = 0.7
 #: Texts that a word must be in to have an embedding; pseudo-texts that shrink its odds; share of words dropped in training.
-RARE, SHRINK, DROP = 5, 8.0, 0.2
+RARE, SHRINK, DROP = 4, 3.0, 0.2
 #: Words scored at a time, and distinct words a worker remembers.
 CHUNK, CACHE = 1 << 17, 200_000
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&…«»“”„’-"
