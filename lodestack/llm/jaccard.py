@@ -47,8 +47,8 @@ BROADCAST_ROWS = 500_000
 #: Documents of a block in dense groups.
 BLOCK = 128
 #: Prefix entries of one partition of the inverted lists.
-ENTRIES = 1_000_000
-CACHE = 300_000
+ENTRIES = 500_000
+CACHE = 150_000
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -139,13 +139,13 @@ def _hashes() -> _Hashes:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches with their shingle sets, at most about 2 million shingles at a time."""
+    """Batches with their shingle sets, about a million shingles at a time."""
     for b in batches:
         lo, sets, size = 0, [], 0
         for i, t in enumerate(b.column("text")):
             sets.append(shingles(t.as_py(), _hashes()))
             size += len(sets[-1])
-            if size > 2_000_000 or i + 1 == b.num_rows:
+            if size > 1_000_000 or i + 1 == b.num_rows:
                 yield b.slice(lo, len(sets)), sets
                 lo, sets, size = i + 1, [], 0
     pa.default_memory_pool().release_unused()
