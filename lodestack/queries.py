@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -784,3 +785,169 @@ def reduced_action_digest(spark, sf_dir):
     """Actions that differ in command and platform only where their digests do."""
     platform = F.create_map(F.lit("os"), F.col("o_orderpriority"), F.lit("arch"), (F.col("o_custkey") % 7).cast("string"))
     return table(spark, sf_dir, "orders").select(digests.reduced_action(F.lit("c"), platform).alias("d")).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+# Single operators ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CAS} SELECT doc_id, 0::BIGINT AS bytes, 'OK' AS code FROM cas WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, size_bytes, 'OK' FROM cas WHERE doc_id % 4 <> 0 AND hash IN (SELECT hash FROM a) UNION ALL SELECT doc_id, NULL, 'NOT_FOUND' FROM cas WHERE doc_id % 4 <> 0 AND hash NOT IN (SELECT hash FROM a)")
+def empty_blob_source(spark, sf_dir):
+    """Reads of which every fourth asks for the empty blob, whatever the store holds."""
+    void = digests.hash_of(F.lit(b""))
+    fourth = F.col("doc_id") % 4 == 0
+    requests = cas(spark, sf_dir).select("doc_id", "function", F.when(fourth, void).otherwise(F.col("hash")).alias("hash"), F.when(fourth, F.lit(0)).otherwise(F.col("size_bytes")).cast("long").alias("size_bytes"))
+    got = stores.with_empty(stores.get(requests, mirror(spark, sf_dir, 0)))
+    return got.select("doc_id", digests.size_of("data").alias("bytes"), F.coalesce("status.code", F.lit("OK")).alias("code"))
+
+
+@query("SELECT doc_id, 'UNAVAILABLE' AS code, 503 AS http FROM documents")
+def error_source(spark, sf_dir):
+    got = stores.failing(cas(spark, sf_dir).select("doc_id", *KEY), "UNAVAILABLE", "Storage is being moved")
+    return got.select("doc_id", F.col("status.code").alias("code"), http_status(F.col("status.code")).alias("http"))
+
+
+@query("SELECT doc_id, 'INVALID_ARGUMENT' AS code FROM documents")
+def read_only_sink(spark, sf_dir):
+    return stores.read_only(cas(spark, sf_dir)).select("doc_id", F.col("status.code").alias("code"))
+
+
+@query("SELECT page_id, NOT (starts_with(n, '/') OR ends_with(n, '/') OR contains(n, '//')) AS valid FROM (SELECT page_id, regexp_replace(url, '^https?:', '') || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' END AS m, CASE WHEN page_id % 3 = 0 THEN substr(regexp_replace(url, '^https?:', ''), 3) ELSE regexp_replace(url, '^https?:', '') END AS n FROM pages)")
+def name_validation(spark, sf_dir):
+    """Addresses as tenant names: two in three begin with slashes."""
+    rest = F.regexp_replace("url", "^https?:", "")
+    name = F.when(F.col("page_id") % 3 == 0, F.substr(rest, F.lit(3))).otherwise(rest)
+    return table(spark, sf_dir, "pages").select("page_id", names.is_valid(name).alias("valid"))
+
+
+@query("SELECT s_suppkey, array_to_string(list_filter(['MD5', 'SHA1', 'SHA256'], lambda x: list_contains(['SHA256', 'NEW', 'MD5'][1:(s_suppkey % 3 + 1)::INT], x)), ',') AS functions FROM supplier")
+def supported_functions(spark, sf_dir):
+    reported = F.slice(F.array(F.lit("SHA256"), F.lit("NEW"), F.lit("MD5")), F.lit(1), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(digests.supported(["MD5", "SHA1", "SHA256"], reported), ",").alias("functions"))
+
+
+@query("SELECT p_partkey, 'bytes=' || p_size || '-' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE (p_size + p_partkey % 5 - 1)::VARCHAR END AS header FROM part")
+def range_headers(spark, sf_dir):
+    size = (F.col("p_partkey") % 5).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", binary.range_header(F.col("p_size"), size).alias("header"))
+
+
+@query("SELECT doc_id, lower('01' || sha256(text) || CASE WHEN 2 * n < 128 THEN printf('%02x', 2 * n) WHEN 2 * n < 16384 THEN printf('%02x%02x', 2 * n % 128 + 128, 2 * n // 128) ELSE printf('%02x%02x%02x', 2 * n % 128 + 128, 2 * n // 128 % 128 + 128, 2 * n // 16384) END) AS compact FROM (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents)")
+def compact_digests(spark, sf_dir):
+    return cas(spark, sf_dir).select("doc_id", F.lower(F.hex(digests.compact(digests.function_value(F.col("function")), F.col("hash"), F.col("size_bytes")))).alias("compact"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def compressed_roundtrip(spark, sf_dir):
+    """Blobs packed by a codec (alternating) and read back through decompression."""
+    import zlib
+
+    @F.pandas_udf("binary")
+    def deflate(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else (c := zlib.compressobj(wbits=-15)).compress(b) + c.flush())
+
+    @F.pandas_udf("binary")
+    def zstd(s: pd.Series) -> pd.Series:
+        import zstandard
+
+        return s.map(lambda b: None if b is None else zstandard.compress(b))
+
+    rows = cas(spark, sf_dir)
+    odd = rows.where("doc_id % 2 = 1").withColumn("data", binary.decompress(deflate(F.col("data")), "deflate"))
+    even = rows.where("doc_id % 2 = 0").withColumn("data", binary.decompress(zstd(F.col("data")), "zstd"))
+    return odd.unionByName(even).select("doc_id", digests.hash_of("data").alias("hash"))
+
+
+@query(f"WITH {_CAS} SELECT doc_id, CASE WHEN hash IN (SELECT hash FROM a) THEN 'OK' ELSE 'INTERNAL' END AS code FROM cas")
+def absent_after_copy(spark, sf_dir):
+    got = combinators.replicated(stores.get(cas(spark, sf_dir).select("doc_id", *KEY), mirror(spark, sf_dir, 0)))
+    return got.select("doc_id", F.coalesce("status.code", F.lit("OK")).alias("code"))
+
+
+@query("SELECT event_id, 'while serving ' || event_type || ': ' || user_id AS message FROM events WHERE event_type = 'error'")
+def status_wrap(spark, sf_dir):
+    from lodestack.functions.status import status, wrap
+
+    s = wrap(status("UNKNOWN", F.col("user_id").cast("string")), "while serving error", "INTERNAL")
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", s["message"].alias("message"))
+
+
+@query("SELECT user_id, user_id % 4 <> 3 AS valid FROM (SELECT DISTINCT user_id FROM events)")
+def token_signatures(spark, sf_dir):
+    """HMAC tokens by key id: none, two known ones, and one that no key has."""
+    import base64
+    import hashlib
+    import hmac
+
+    keys = {"k1": b"one", "k2": b"two"}
+
+    @F.pandas_udf("string")
+    def sign(u: pd.Series) -> pd.Series:
+        enc = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+
+        def one(n: int) -> str:
+            kid = [None, "k1", "k2", "k9"][n % 4]
+            head = '{"alg":"HS256"' + (f',"kid":"{kid}"' if kid else "") + "}"
+            signed = f"{enc(head.encode())}.{enc(b'{}')}"
+            return f"Bearer {signed}." + enc(hmac.new(keys.get(kid, b"one"), signed.encode(), hashlib.sha256).digest())
+
+        return u.map(one)
+
+    rows = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("token", tokens.parse(sign(F.col("user_id"))))
+    return rows.select("user_id", tokens.hmac_valid(F.col("token"), keys).alias("valid"))
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, f AS (SELECT user_id, event_id, n, us AS ins, true AS copied FROM o WHERE n = 1 UNION ALL
+SELECT o.user_id, o.event_id, o.n, CASE WHEN f.ins >= o.us - {DAY * 10**6} THEN f.ins ELSE o.us END, NOT (f.ins >= o.us - {DAY * 10**6}) FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, count(*) FILTER (WHERE copied) AS copies, count(*) AS requests FROM f GROUP BY 1""")
+def queued_replication(spark, sf_dir):
+    """Requests of a queue that copies a key only if it has not been seen within a day."""
+    seen = folds.fold(events(spark, sf_dir), "user_id", "us", "event_id", folds.existence_step(DAY * 10**6))
+    return seen.groupBy("user_id").agg(F.count(F.when(F.col("answer") == "miss", 1)).alias("copies"), F.count(F.lit(1)).alias("requests"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS pass_through FROM pages")
+def reference_pass_through(spark, sf_dir):
+    """References into the store itself that only change the tenant."""
+    rows = table(spark, sf_dir, "pages").select("page_id", digests.hash_of("url").alias("hash"), F.when(F.col("page_id") % 3 == 0, digests.hash_of("url")).otherwise("elsewhere").alias("location"), F.lit("cas").alias("medium"), F.lit("identity").alias("decompressor"))
+    return references.is_identity(rows).select("page_id", "pass_through")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def state_reopened(spark, sf_dir):
+    """State written in two versions and opened again: the newest one."""
+    import uuid
+
+    from lodestack.session import shared_dir
+    from lodestack.sources import state
+
+    path = f"{shared_dir(spark)}/lodestack/state-{uuid.uuid4().hex}"
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    state.save(nation.limit(3), path, 1)
+    state.save(nation, path, 2)
+    return state.latest(spark, path)
+
+
+@query()
+def message_field_visitor(spark, sf_dir):
+    """Field ranges of messages made of two strings each."""
+    part = lambda tag, c: F.concat(F.lit(bytes([tag])), F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 2, "0")), c.cast("binary"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(part(0x0A, F.col("n_name")), part(0x12, F.col("n_nationkey").cast("string"))).alias("message"))
+    each = rows.select("n_nationkey", "message", F.explode(binary.message_fields(F.col("message"))).alias("f"))
+    return each.select("n_nationkey", F.col("f.field").alias("field"), F.substr("message", (F.col("f.offset") + 1).cast("int"), F.col("f.size").cast("int")).cast("string").alias("value"))
+
+
+@query(ORACLE["rate_sampler"])
+def stream_sampler(spark, sf_dir):
+    """The rate sampler over the log as a stream that ends with its files."""
+    import uuid
+
+    from lodestack.session import shared_dir
+
+    log = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("user"), "us", "event_id")
+    base = f"{shared_dir(spark)}/lodestack/stream-{uuid.uuid4().hex}"
+    log.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(log.schema).parquet(f"{base}/in")
+    out = folds.fold_stream(stream, "user", "us", "event_id", folds.sampler_step(2, 5 * DAY * 10**6), 2)
+    run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "answer")
