@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import u64
 from lodestack.operators import combinators, stores
 from lodestack.operators.sets import KEY, union
+from lodestack.session import written
 
 
 @dataclass
@@ -26,6 +27,7 @@ class Node:
     held: DataFrame
     missing: object
     effects: dict = field(default_factory=dict)
+    plain: bool = False  # asked by one anti join on ``held``
 
     def find_missing(self, requests: DataFrame) -> DataFrame:
         return self.missing(requests)
@@ -49,7 +51,7 @@ def build(spec: dict, tables: dict[str, DataFrame], labels: dict[str, Node] | No
         if v not in tables:
             raise ValueError(f"INVALID_ARGUMENT: unknown table {v!r}")
         t = tables[v]
-        return Node(t, lambda r: stores.find_missing(r, t))
+        return Node(t, lambda r: stores.find_missing(r, t), plain=True)
     if kind == "label":
         if v not in labels:
             raise ValueError(f"INVALID_ARGUMENT: undeclared label {v!r}")
@@ -81,7 +83,11 @@ def build(spec: dict, tables: dict[str, DataFrame], labels: dict[str, Node] | No
         def missing(r: DataFrame) -> DataFrame:
             from lodestack.functions.digests import shard_hash
 
-            dealt = u64.assign_shards(r.select(*KEY).distinct().withColumn("__h", shard_hash(F.col("hash"))), "__h", weights)
+            dealt = u64.assign_shards(r.select(*KEY).distinct().withColumn("__h", shard_hash(F.col("hash"))), "__h", weights).drop("__h")
+            if all(n.plain for n in nodes.values()):  # one join on shard and key, not one a shard
+                tagged = [n.held.select(F.lit(k).alias("shard"), *KEY) for k, n in nodes.items()]
+                return stores.find_missing(dealt, union(tagged, ["shard", *KEY]), ["shard", *KEY]).drop("shard")
+            dealt = written(dealt, "plan-shards")
             return union([nodes[k].find_missing(dealt.where(F.col("shard") == k)) for k in nodes])
 
         held = None

@@ -217,6 +217,8 @@ def test_plans(spark):
     assert texts(node.find_missing(req)) == ["c"] and texts(node.effects["repairs"](req)) == ["a", "b"]
     shard = build({"sharding": {"p": {"weight": 1, "backend": {"local": "x"}}, "q": {"weight": 3, "backend": {"local": "x"}}}}, t)
     assert texts(shard.find_missing(req)) == ["b", "c"]
+    nested = {"read_fallback": {"primary": {"local": "x"}, "secondary": {"local": "y"}}}
+    assert texts(build({"sharding": {"p": {"weight": 1, "backend": nested}, "q": {"weight": 3, "backend": {"local": "x"}}}}, t).find_missing(blobs(spark, "a", "c", "d"))) == ["c", "d"]
     assert sum(r.status is None for r in node.get(req.drop("data")).collect()) == 2
     tenant = lambda df, n: df.withColumn("instance_name", F.lit(n))
     t |= {"root": tenant(blobs(spark, "a"), ""), "own": tenant(blobs(spark, "b"), "x/b")}
