@@ -46,31 +46,40 @@ def slot_key(key_hex: Column, attempt: Column) -> Column:
     return F.concat(F.unhex(key_hex), F.unhex(little))
 
 
-def decompress(data: Column, codec: str) -> Column:
-    """Decoded bytes (``identity``, ``zstd``, ``deflate``); null if they do not decode."""
-    if codec == "identity":
-        return data
+CODECS = ("identity", "zstd", "deflate")
 
-    def one(x: bytes | None) -> bytes | None:
+
+def decompress(data: Column, codec: str | Column) -> Column:
+    """Decoded bytes (``identity``, ``zstd``, ``deflate``, by name or per row); null if
+    they do not decode or the codec is unknown. Bytes that need no decoding stay out
+    of Python."""
+    if isinstance(codec, str):
+        if codec not in CODECS:
+            raise ValueError(f"INVALID_ARGUMENT: unknown decompressor {codec}")
+        if codec == "identity":
+            return data
+        codec = F.lit(codec)
+
+    def one(x: bytes | None, how: str | None) -> bytes | None:
         if x is None:
             return None
         try:
-            if codec == "deflate":
+            if how == "deflate":
                 return zlib.decompressobj(-15).decompress(bytes(x))
-            import zstandard
+            if how == "zstd":
+                import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(bytes(x))
+                return zstandard.ZstdDecompressor().decompressobj().decompress(bytes(x))
         except Exception:  # whatever a codec raises means bytes that it cannot decode
-            return None
-
-    if codec not in ("zstd", "deflate"):
-        raise ValueError(f"INVALID_ARGUMENT: unknown decompressor {codec}")
+            pass
+        return None
 
     @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+    def run(s: pd.Series, how: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(s, how)], dtype=object)
 
-    return run(data)
+    packed = F.when(codec != "identity", data)
+    return F.when(codec == "identity", data).otherwise(run(packed, codec))
 
 
 def message_fields(data: Column) -> Column:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import binary, digests
 from lodestack.functions.status import status
 
-CODECS = ("identity", "zstd", "deflate")
-
 
 def expand(requests: DataFrame, references: DataFrame, media: DataFrame, function: str = "SHA256") -> DataFrame:
     """Requested rows with the bytes that their reference leads to, and a status.
@@ -24,9 +20,7 @@ def expand(requests: DataFrame, references: DataFrame, media: DataFrame, functio
     wanted = references.join(requests.select("hash").distinct(), "hash", "left_semi")
     met = wanted.join(media, ["medium", "location"], "left")
     cut = binary.byte_range(F.col("content"), F.col("offset_bytes"), F.col("length"))
-    met = met.withColumn("__raw", cut)
-    each = [met.where(F.col("decompressor") == c).withColumn("data", binary.decompress(F.col("__raw"), c)) for c in CODECS]
-    data = reduce(DataFrame.unionByName, each).select("hash", "data", F.col("content").isNotNull().alias("__there"))
+    data = met.select("hash", binary.decompress(cut, F.col("decompressor")).alias("data"), F.col("content").isNotNull().alias("__there"))
     out = requests.join(data, "hash", "left")
     sound = digests.integrity(F.col("data"), function, F.col("hash"), F.col("size_bytes"))
     s = (
@@ -43,6 +37,3 @@ def is_identity(references: DataFrame) -> DataFrame:
     """References into the store itself without a decompressor pass the key through."""
     same = (F.col("medium") == "cas") & (F.col("location") == F.col("hash")) & (F.col("decompressor") == "identity")
     return references.withColumn("pass_through", same)
-
-
-
