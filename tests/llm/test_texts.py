@@ -1,6 +1,5 @@
 """Operators on single texts, held against brute force, round trips and accuracy."""
 
-import base64
 import hashlib
 import random
 import re
