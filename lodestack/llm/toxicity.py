@@ -97,13 +97,14 @@ class Cnn:
         return float(np.maximum(top + self.bias, 0) @ self.out + self.out_bias)
 
 
-def pooled(parts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def pooled(parts: np.ndarray, ids: np.ndarray, places: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Maxima of all filters over a text (rows ``ids`` of ``parts``), and where they
-    are. Row 0 is no word; texts are padded with it so that every width has a place."""
+    are. Row 0 is no word; texts are padded with it so that every width has a place.
+    ``places`` limits where filters begin, for a piece that others follow."""
     tops, at = [], []
     padded = np.concatenate([ids, np.zeros(max(WIDTHS), ids.dtype)])
     for w in WIDTHS:
-        n, best, where = len(ids) + 1, None, None
+        n, best, where = places or len(ids) + 1, None, None
         for lo in range(0, n, CHUNK):
             hi, s = min(n, lo + CHUNK), None
             for j in range(w):
@@ -263,7 +264,7 @@ def score_text(words: Words, text: str | None) -> tuple[float, int]:
     top, v = None, np.zeros(len(GROUPS), np.int64)
     for lo in range(0, max(1, len(all_words)), CHUNK):
         ids = words(all_words[lo : lo + CHUNK + max(WIDTHS) - 1])
-        t, _ = pooled(words.parts, ids)
+        t, _ = pooled(words.parts, ids, CHUNK if lo + CHUNK < len(all_words) else None)
         top = t if top is None else np.maximum(top, t)
         v += words.votes[ids[:CHUNK]].sum(0)
     return float(np.maximum(top + m.bias, 0) @ m.out + m.out_bias), vote(v)
