@@ -8,8 +8,8 @@ fixed-point integers, so reruns agree and no rounding can add a copy.
 
 The prefix sum is two-level: documents fall into cells (source, size class,
 hash bucket) whose number follows the source's documents; a cell is numbered
-by a window, and the cells' counts are summed over each source. No task sees a
-whole source, however large its share. Ordering by size class keeps the taken
+by a window, its offset is summed over the cells of its class and over the
+classes of its source. No task sees a whole source, however large its share. Ordering by size class keeps the taken
 words close to the target, because every class gives its exact share.
 """
 
@@ -21,12 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import WORD
+from lodestack.llm._shared import WORD, written
 
 #: Fixed-point bits of a rate; positions stay in 64 bits up to 2**35 documents a source.
 BITS = 28
 #: Documents of a source for each hash bucket.
-CELL = 1 << 11
+CELL = 1 << 9
 #: Proven bound of what is collected and broadcast: one row a source.
 MAX_SOURCES = 100_000
 
@@ -82,8 +82,12 @@ def mix(docs: DataFrame, id_col: str, size_col: str, source_col: str, cycle=(3,
     base = docs.drop("source_size", "target", "copies", "taken").join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__mix_s")))
     base = base.withColumns({"__mix_n": size, "__mix_c": F.length(F.bin(size)), "__mix_b": F.pmod(key, F.col("__mix_k"))})
     cell = ["__mix_i", "__mix_c", "__mix_b"]
-    before = Window.partitionBy("__mix_i").orderBy("__mix_c", "__mix_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = base.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_o"))
+    before = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(base.groupBy(*cell).count(), "mixing-cells")
+    within = counts.withColumn("__mix_w", F.coalesce(F.sum("count").over(before(cell[:2], cell[2])), F.lit(0))).drop("count")
+    classes = counts.groupBy(*cell[:2]).agg(F.sum("count").alias("count"))
+    classes = classes.withColumn("__mix_p", F.coalesce(F.sum("count").over(before(cell[:1], cell[1])), F.lit(0))).drop("count")
+    offsets = within.join(classes, cell[:2]).select(*cell, (F.col("__mix_w") + F.col("__mix_p")).alias("__mix_o"))
     ranked = base.withColumn("__mix_r", F.row_number().over(Window.partitionBy(*cell).orderBy("__mix_n", id_col)))
     out = ranked.join(offsets, cell)
     one = 1 << BITS
