@@ -44,3 +44,23 @@ def test_query(spark, duck, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    """Python workers find the package though nothing that they inherit names it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(entry.__file__).resolve().parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", e.queries()["rate_sampler"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1000" in out.stdout, out.stderr[-2000:]
