@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of an Arrow batch of whole texts, where the session does not say otherwise.
-TEXT_ROWS = 1_000
+TEXT_ROWS = 250
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _slot: dict = {}
 

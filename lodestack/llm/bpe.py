@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -156,10 +155,10 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
         pieces[i] = piece
     sent = tokens.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf("binary")
-    def join(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def join(ids: pa.Array) -> pa.Array:
         piece = sent.value.__getitem__
-        return ids.map(lambda b: b"".join(map(piece, np.frombuffer(b or b"", "<u4").tolist())))
+        return pa.array([b"".join(map(piece, np.frombuffer(b.as_py() or b"", "<u4").tolist())) for b in ids], pa.binary())
 
     return tokens.withColumn(out_col, join(F.col(ids_col)))
 
