@@ -7,12 +7,15 @@ the largest norm. The splits are fitted on a bounded sample; every row is
 routed through every tree. A query walks all trees through one shared priority
 queue (least margin first) until the leaves it has seen hold enough rows; the
 rows of those leaves are then ranked by the exact inner product in double
-precision. Equal vectors are indexed once, with their smallest ids.
+precision. How many are enough is measured in each run, on queries whose
+neighbours are found by brute force. Equal vectors are indexed once, with their
+smallest ids.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,10 @@ SAMPLE_BYTES = 64 << 20
 TREES = 10
 #: Sampled rows of a leaf.
 LEAF = 512
-#: A query stops taking leaves once they hold this many rows, trees together.
+#: A query takes leaves until they hold this many rows, trees together, or more where RECALL needs more.
 SEARCH = 40_000
+#: Share of the nearest that the leaves must hold, over at most so many brute-forced queries.
+RECALL, PROBES = 0.95, 256
 #: Rows of a leaf that one group ranks; larger leaves are dealt over several groups.
 BLOCK = 4_096
 
@@ -113,13 +118,54 @@ def search(forest: list[Tree], sizes: dict[tuple[int, int], int], q: np.ndarray,
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, enough: int = SEARCH, seed: int = 7) -> DataFrame:
+def exact(one: DataFrame, probes: pa.Table, k: int) -> DataFrame:
+    """By brute force over all rows, the ``k + 1`` best distinct vectors of each probe: ``probe, score, ids, v``."""
+    q = matrix(probes["v"])
+    sent = one.sparkSession.sparkContext.broadcast(q)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = sent.value @ matrix(b.column("v")).T if len(sent.value) else np.zeros((0, b.num_rows))
+            m = min(k + 1, b.num_rows)
+            at = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m else np.zeros((0, 0), np.int64)
+            probe, row = np.repeat(np.arange(len(at)), m), pa.array(at.ravel(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int32()), pa.array(np.take_along_axis(scores, at, 1).ravel() if m else [], pa.float64()), b.column("ids").take(row), b.column("v").take(row)], ["probe", "score", "ids", "v"])
+
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), F.col("ids")[0])
+    found = one.select("ids", "v").mapInArrow(best, "probe int, score double, ids array<long>, v array<double>")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+
+
+def needed(forest: list[Tree], sizes: dict[tuple[int, int], int], probes: pa.Table, found: DataFrame, k: int, top: float) -> int:
+    """The least ``enough`` whose leaves hold ``RECALL`` of the probes' ``k`` nearest."""
+    got = found.toArrow()
+    if not got.num_rows:
+        return 0
+    y = lift(matrix(got["v"]), top).astype(np.float32)
+    leaves = np.column_stack([tree.route(y) for tree in forest])
+    near: dict[int, list[tuple[float, int, int]]] = {}
+    for row, (p, score, ids) in enumerate(zip(got["probe"].to_pylist(), got["score"].to_pylist(), got["ids"].to_pylist())):
+        near.setdefault(p, []).extend((-score, i, row) for i in ids)
+    own, asked = probes["id"].to_pylist(), lift(matrix(probes["v"]), None).astype(np.float32)
+    needs = []
+    for p, rows in near.items():
+        before, n = {}, 0
+        for at in search(forest, sizes, asked[p], 1 << 62):
+            before[at] = n
+            n += sizes[at]
+        for _, _, row in sorted(r for r in rows if r[1] != own[p])[:k]:
+            needs.append(min(before.get((t, lf), n) for t, lf in enumerate(leaves[row].tolist())) + 1)
+    return sorted(needs)[math.ceil(RECALL * len(needs)) - 1] if needs else 0
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, enough: int | None = None, seed: int = 7) -> DataFrame:
     """Per query its ``k`` nearest found: ``query_id, rank, vec_id, score``.
 
     A query's own id is never its neighbour. Vectors that are null, zero, hold
     null or non-finite components, or differ from the common dimension take no
     part, nor do null ids. Repeated ids count once per distinct vector. Ties go
-    to the smaller id. Empty input gives an empty result.
+    to the smaller id. Empty input gives an empty result. Leaves are taken until
+    they hold ``enough`` rows, by default the larger of ``SEARCH`` and what ``RECALL`` needs.
     """
     spark = vectors.sparkSession
     take = lambda df: with_same_dim(df.where(usable(vec_col)).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "v")
@@ -150,6 +196,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     # One row a leaf: bounded by the sample, whatever the table's size.
     sizes = {(r.tree, r.leaf): r.n for r in postings.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     sent_sizes = spark.sparkContext.broadcast(sizes)
+    asked = take(queries).distinct()
+    if enough is None:
+        n = max(8, min(PROBES, SAMPLE_BYTES // (8 * dim * (k + 1))))
+        probes = asked.orderBy(F.xxhash64("id"), "id", "v").limit(n).toArrow()
+        enough = max(SEARCH, needed(forest, sizes, probes, exact(one, probes, k), k, top))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +213,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf_, pa.int64()), pa.array(part, pa.int32()), b.column("id").take(at), b.column("v").take(at)], ["tree", "leaf", "part", "id", "v"])
 
-    asked = take(queries).distinct().repartition(spark.sparkContext.defaultParallelism).mapInArrow(walk, "tree int, leaf long, part int, id long, v array<double>")
+    asked = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(walk, "tree int, leaf long, part int, id long, v array<double>")
     big = spark.createDataFrame([(t, lf, -(-n // BLOCK)) for (t, lf), n in sizes.items() if n > BLOCK] or [(-1, -1, 1)], "tree int, leaf long, blocks long")
     dealt = postings.join(F.broadcast(big), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
 

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestack.llm import ann, embed_dedup, jaccard
@@ -157,3 +158,22 @@ def test_nearest_recall_ties_and_edges(spark):
     few = ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0"), 20).collect()
     assert len(few) == 4
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_nearest_searches_as_much_as_the_recall_needs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SEARCH", 500)  # as small a share of the postings as 40,000 is of a large table's
+    x = np.random.default_rng(5).normal(size=(3000, 48))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)})).cache()
+
+    def recall(enough):
+        got, hits = {}, 0
+        for r in ann.nearest(df, df.where("vec_id % 50 = 0"), 20, leaf=64, enough=enough).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        for q in range(0, len(x), 50):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+        return hits / (60 * 20)
+
+    assert recall(500) < 0.9 <= recall(None)
+    assert ann.nearest(df, df.limit(0), 20, leaf=64).count() == 0
