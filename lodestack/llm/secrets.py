@@ -35,7 +35,9 @@ CLASSES = (
 )
 #: Candidates that are no secrets: words without digits, numbers and rules, UUIDs, paths.
 ALLOW = re.compile(r"[A-Za-z_-]+|[0-9_=+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-ALLOW_PATH = re.compile(r"(?:[A-Za-z][A-Za-z0-9_-]{0,14}/){2,}[A-Za-z0-9_-]*")
+#: A path's segments are words joined by - or _, with a number of up to four digits at their end.
+_SEGMENT = r"[A-Za-z]{1,15}(?:[_-][A-Za-z]{1,15})*(?:[_-]?[0-9]{1,4})?"
+ALLOW_PATH = re.compile(rf"(?:(?=[^/]{{1,15}}/){_SEGMENT}/){{2,}}(?:{_SEGMENT})?")
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 

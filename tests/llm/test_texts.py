@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -68,6 +69,18 @@ def brute_spans(text):
     return [f"{n}:{a}:{b}" for a, _, b, n in sorted(out)]
 
 
+def test_secrets_after_a_path_are_found():
+    for secret in ("T01ABCDEF/B02GHIJKL/q7Xz4Rk9Lm2Np8Vt5Wy1Bc3D", "q7Xz4Rk9Lm2Np8Vt5Wy1Bc3DzH6tKs0f", "Xz4Rk9-Lm2Np8-Vt5Wy1-Bc3DzH"):
+        for path in ("com/services/", "api/v1/", "hooks/main/v2/"):
+            text = f"see https://x.example.{path}{secret} there"
+            assert secret[-20:] not in secrets.mask(text, secrets.scan(text))
+    rng = random.Random(4)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=40)) for _ in range(20_000)]
+    assert sum(secrets.allowed(k) for k in keys) <= 40  # those without a digit
+    for clean in ("docs/guide/getting-started-with-tables-2024", "usr/lib/python3/dist-packages/numpy/core", "api/v1/users/settings/profile"):
+        assert secrets.scan(f"see {clean} here") == []
+
+
 def test_secrets_equal_brute_force(spark):
     rng = random.Random(2)
     bits = ["password", "Token", "API_KEY", "apikey", "secret", ": ", " = ", "=", '"', "'", " ", "\n", "AKIA", "AKIA" + "X7" * 8, "AKIA" + "Z" * 15, "deadbeef" * 3, "deadbeef" * 2 + "cafebab", "abc", "hunter2", "hunter22", "é", "🙂", "a1b2c3d4e5", "/", "Kſ", "tok", "en"]
