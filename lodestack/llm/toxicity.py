@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import bounded_sample, held_out, kept, text_batches, tidy
+from lodestack.llm._shared import held_out, kept, text_batches, tidy
 
 #: Labelled rows that training reads at most.
 SAMPLE = 6_000
@@ -127,20 +127,16 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: in
     on a left-out fifth stays.
 
     One filter starts from the words' shrunk log odds, so that training begins near
-    a word-list classifier. Texts that begin alike count once, and words of fewer
-    than ``RARE`` texts have no embedding: neither copies nor names are learnt by heart.
+    a word-list classifier. Words of fewer than ``RARE`` texts have no embedding:
+    names are not learnt by heart. :func:`fit` leaves copies out.
     """
     rng = np.random.default_rng(seed)
-    seen: dict[tuple, int] = {}
-    for i, t in enumerate(texts):
-        seen.setdefault(tuple((t or "").split()[:12]) or (i,), i)
-    own = sorted(seen.values())
-    y = labels[own].astype(np.float64)
-    hold = np.arange(len(own)) % 5 == 4
+    y = labels.astype(np.float64)
+    hold = np.arange(len(texts)) % 5 == 4
     fit, held = np.flatnonzero(~hold), np.flatnonzero(hold)
     counts: dict[int, list[float]] = {}
     for i in fit:
-        for h in {h for w in set((texts[own[i]] or "").split()) for h in hashed(w)}:
+        for h in {h for w in set((texts[i] or "").split()) for h in hashed(w)}:
             c = counts.setdefault(h, [0, 0])
             c[0] += 1
             c[1] += y[i]
@@ -155,7 +151,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: in
     model = Cnn({h: i + 1 for i, h in enumerate(known)}, emb, [rng.normal(0, 0.2, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.05, len(WIDTHS) * FILTERS), prior - 2)
     model.filters[0][0, :, 0] = np.eye(DIM)[0]
     model.out[0] = 1.0
-    docs = [model.encode((texts[i] or "").split()) for i in own]
+    docs = [model.encode((texts[i] or "").split()) for i in range(len(texts))]
     with_none = lambda d: np.concatenate([np.zeros((1, CHANNELS), np.int32), d])
     score = lambda rows: np.array([model.logit(model.parts(with_none(docs[i]))) for i in rows])
     g_e, g_f, g_b, g_o, g_ob = np.full_like(emb, 1e-2), [np.full_like(f, 1e-2) for f in model.filters], np.full_like(model.bias, 1e-2), np.full_like(model.out, 1e-2), 1e-2
@@ -204,7 +200,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: in
                 g_e[rows] += grads**2
                 model.emb[rows] = step(model.emb[rows], grads, g_e[rows])
     model = best or model
-    calibrate(model, score(held), np.array([group_of((texts[own[i]] or "").split()) for i in held], int), y[held])
+    calibrate(model, score(held), np.array([group_of((texts[i] or "").split()) for i in held], int), y[held])
     return model
 
 
@@ -293,11 +289,16 @@ def score_texts(docs: DataFrame, model: Cnn, keep: list[str], text_col: str = "t
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Cnn:
     """Train on at most ``sample`` labelled rows outside the held-out third.
     Labels that are null or of an unknown id are left out; an id with several
-    labels counts with its largest. Without both classes every score is the base rate's."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__l")).agg(F.max(label_col).alias("__y"))
-    rows = bounded_sample(known.where(~held_out("__l")), "__l", ["__y"], sample)
-    text = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
-    got = text.join(F.broadcast(rows), F.col("__i") == F.col("__l")).select("__i", "__t", "__y").orderBy(F.xxhash64("__i"), "__t").limit(sample).collect()
+    labels counts with its largest. Copies, texts equal but for case and white space
+    and of one label, count once. Without both classes every score is the base rate's."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.max(label_col).alias("__y")).where(~held_out("__i"))
+    text = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where(F.col("__i").isNotNull() & ~held_out("__i"))
+    digest = F.md5(F.trim(F.lower(F.regexp_replace(F.coalesce("__t", F.lit("")), r"\s+", " "))).cast("binary"))
+    once = text.select("__i", digest.alias("__h")).distinct().join(known, "__i").groupBy("__h", "__y").agg(F.min(F.struct(F.xxhash64("__i").alias("x"), F.col("__i").alias("i"))).alias("r"))
+    drawn = once.select("r.x", F.col("r.i").alias("__i"), "__h", "__y").orderBy("x", "__i", "__h").limit(sample).drop("x")
+    drawn = docs.sparkSession.createDataFrame(drawn.collect(), drawn.schema)
+    got = text.join(F.broadcast(drawn.select("__i").distinct()), "__i").withColumn("__h", digest).join(F.broadcast(drawn), ["__i", "__h"])
+    got = got.dropDuplicates(["__i", "__h", "__y"]).orderBy(F.xxhash64("__i"), "__h").collect()
     return train([r["__t"] for r in got], np.array([r["__y"] for r in got], np.int64))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
@@ -224,6 +225,27 @@ def test_toxicity_held_out_accuracy(spark, labelled):
     assert len(none) == 3 and toxicity.toxicity(docs_.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_texts_that_begin_alike(spark, monkeypatch):
+    rng, header = random.Random(6), " ".join(f"header{i}" for i in range(12))
+    rows = [(i, f"{header} {' '.join(rng.choices([f'word{j}' for j in range(40)], k=15))} n{i}", int(i % 3 == 0)) for i in range(120)]
+    rows += [(i, f"{header}  Copied\ttext" if i % 2 else f"{header} copied text", 0) for i in range(1000, 1300)] + [(2000 + i, f"{header} copied text", 1) for i in range(9)]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(list(zip(texts, y.tolist()))))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    toxicity.fit(df.select("doc_id", "text"), labels)
+    norm = lambda t: " ".join(t.lower().split())
+    outside = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert sorted((norm(t), y) for t, y in seen[0]) == sorted({(norm(t), y) for _, t, y in outside})
+    toxicity.fit(df.select("doc_id", "text"), labels, sample=50)
+    assert len(seen[1]) == len({(norm(t), y) for t, y in seen[1]}) == 50
+    monkeypatch.undo()
+    texts, y = zip(*[(f"{t} {'vile' if l else 'kind'}", l) for _, t, l in rows[:120]])
+    m = toxicity.train(list(texts), np.array(y))
+    z = [toxicity.score_text(toxicity.Words(m), t)[0] for t in texts]
+    assert min(s for s, l in zip(z, y) if l) > max(s for s, l in zip(z, y) if not l)
+
+
 def test_toxicity_pools_over_whole_texts(monkeypatch):
     rng = np.random.default_rng(0)
     parts = rng.normal(size=(50, len(toxicity.PARTS) * toxicity.FILTERS)).astype(np.float32)
