@@ -3,13 +3,14 @@ connected components."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.session import shared_dir, written
 
-__all__ = ["bounded_sample", "connected_components", "held_out", "kept", "shared_dir", "text_batches", "tidy", "written"]
+__all__ = ["bounded_sample", "connected_components", "forest", "held_out", "kept", "shared_dir", "text_batches", "tidy", "written"]
 
 #: Whitespace that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,21 @@ def bounded_sample(rows: DataFrame, id_col: str, keep: list[str], n: int) -> Dat
     return rows.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select(id_col, *keep).limit(n)
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The root (smallest index) of each of ``n`` nodes under links ``i, j``."""
+    root = np.arange(n)
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        open_ = low != high
+        if not open_.any():
+            break
+        i, j, low, high = i[open_], j[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph.
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, written
+from lodestack.llm._shared import connected_components, forest, written
 from lodestack.llm.vectors import usable
 
 #: Rows of a tile; a group holds two.
@@ -62,21 +62,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple
     return i[hit], j[hit]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The root (smallest index) of each of ``n`` nodes under links ``i, j``."""
-    root = np.arange(n)
-    while len(i):
-        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-        open_ = low != high
-        if not open_.any():
-            break
-        i, j, low, high = i[open_], j[open_], low[open_], high[open_]
-        np.minimum.at(root, high, low)
-        while not np.array_equal(up := root[root], root):
-            root = up
-    return root
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 

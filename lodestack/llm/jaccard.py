@@ -9,11 +9,14 @@ start. Then, by size:
 * large sets meet in inverted lists. A set is listed under its prefix, the
   shingles that one global order puts first, long enough that linked sets share
   one. Shingles of long lists are moved to the end of the order, so that common
-  passages drop out of the prefixes; a parity sketch of the set then rules out
-  pairs by a proven bound, and the rest are compared exactly;
-* sets that meet under moved shingles all the same (dense groups of near copies)
-  are compared with one leader of their list, and those that do not link with it,
-  block by block, with the whole group. Nothing is dropped.
+  passages drop out of the prefixes;
+* of every list each set first meets the leader alone, so that a group of near
+  copies costs rows, not pairs. A parity sketch of the sets rules out pairs by a
+  proven bound, the others are compared exactly. Members of one leader are in one
+  component; only sets apart from their leader go on: in lists of bounded length
+  their sketches meet the other members', in longer ones (dense groups under moved
+  shingles, and any list beyond the bound) blocks of sets are compared exactly and
+  each pair of blocks gives a spanning forest of its links. Nothing is dropped.
 
 The boundary between small and large is the size up to which subsets cost fewer
 rows than lists. Links become components by :func:`connected_components`.
@@ -22,7 +25,7 @@ rows than lists. Links become components by :func:`connected_components`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -30,22 +33,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, kept, text_batches, written
+from lodestack.llm._shared import connected_components, forest, kept, text_batches, written
 
 WORDS = 5
 #: Sets up to this size may be small; the cost model picks the boundary below it.
 MOST_SMALL = 12
 #: A shingle in more prefixes than this goes to the end of the order.
 LIST = 64
-#: As many shingles at most are moved (the most frequent): the proven size of the broadcast.
+#: As many shingles at most are moved (the most frequent): the proven size of the
+#: broadcast, 8 bytes each. Lists that stay long beyond it are compared in blocks.
 MOVED = 1 << 20
 #: Tables of ids up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Documents of a block in dense groups.
-BLOCK = 128
+#: Documents of a block in dense groups, and base of their size classes: sets that link are of one class or of neighbours.
+BLOCK, RATIO = 256, 4 / 3
 #: Prefix entries of one partition of the inverted lists.
 ENTRIES = 500_000
 CACHE = 150_000
@@ -96,19 +100,14 @@ def in_order(s: np.ndarray, moved: np.ndarray | None) -> np.ndarray:
     p = prefix_length(len(s))
     if moved is None or not len(moved):
         return s[:p]
-    last = among(keys_of(s), moved)
+    last = among(s, moved)
     if (free := s[~last])[p - 1 :].size:
         return free[:p]
     return np.concatenate([free, s[last]])[:p]
 
 
-def keys_of(s: np.ndarray) -> np.ndarray:
-    """List keys: the upper half of a hash. Equal shingles have equal keys."""
-    return (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def among(k: np.ndarray, moved: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted, non-empty array."""
+    """Which shingles are in the sorted, non-empty array."""
     at = np.searchsorted(moved, k)
     return moved[np.minimum(at, len(moved) - 1)] == k
 
@@ -156,21 +155,21 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc"), pa.array([len(s) for s in sets], pa.int32()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                _lists([keys_of(in_order(s, None)) if len(s) else s.astype(np.int32) for s in sets], np.int32),
-                _lists([s.view(np.int64) if len(s) <= MOST_SMALL else s[:0].view(np.int64) for s in sets], np.int64),
+                _lists([in_order(s, None) if len(s) else s for s in sets]),
+                _lists([s if len(s) <= MOST_SMALL else s[:0] for s in sets]),
                 pa.array([sketch(s) for s in sets], pa.binary()),
             ],
             ["doc", "n", "digest", "keys", "small", "sketch"],
         )
 
 
-def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(a) for a in arrays])
-    flat = np.concatenate(arrays).astype(kind) if arrays else np.zeros(0, kind)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    flat = np.concatenate([np.zeros(0, np.uint64), *arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-SIGNATURE = "doc long, n int, digest binary, keys array<int>, small array<long>, sketch binary"
+SIGNATURE = "doc long, n int, digest binary, keys array<long>, small array<long>, sketch binary"
 
 
 def small_boundary(histogram: dict[int, int], verify: float = 2.0) -> int:
@@ -219,16 +218,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Inverted lists: what is large, and small sets that a large one could link with.
     listed = reps.where(4 * F.col("n") >= 3 * (small + 1)).select("doc", "n", "keys", "copies")
-    entries = listed.select("doc", "n", F.explode("keys").alias("key"))
+    entries = listed.select("doc", "n", "copies", F.explode("keys").alias("key"))
     frequent = lambda df, c: df.where(F.col(c) > LIST).orderBy(F.desc(c), "key").limit(MOVED)
     first = written(frequent(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "c"), "jaccard-frequent")
     moved = _moved(first)
-    dense = None
+    late = None
     if len(moved):
-        touched = lambda m: entries.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"key": m}))), "key", "left_semi").select("doc").distinct()
+        touched = lambda m: entries.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"key": m.view(np.int64)}))), "key", "left_semi").select("doc").distinct()
         affected = text.join(_side(written(touched(moved), "jaccard-touched")), "doc", "left_semi")
         # What takes their place may be frequent too: the shingles next in order are counted as well.
-        behind = affected.mapInArrow(_next_keys(spark.sparkContext.broadcast(moved)), "key int").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        behind = affected.mapInArrow(_next_keys(spark.sparkContext.broadcast(moved)), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
         moved = _moved(written(frequent(first.unionByName(behind).groupBy("key").agg(F.sum("c").alias("c")), "c"), "jaccard-frequent"))
         again = written(touched(moved), "jaccard-touched")
         sent = spark.sparkContext.broadcast(moved)
@@ -236,40 +235,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sent.value
             for b, sets in _texts(batches):
-                keys = [keys_of(in_order(s, m)) if len(s) else s.astype(np.int32) for s in sets]
-                late = [among(k, m) for k in keys]
+                keys = [in_order(s, m) if len(s) else s for s in sets]
+                last = [among(k, m) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists([k[~x] for k, x in zip(keys, late)], np.int32), _lists([k[x] for k, x in zip(keys, late)], np.int32)],
+                    [b.column("doc"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists([k[~x] for k, x in zip(keys, last)]), _lists([k[x] for k, x in zip(keys, last)])],
                     ["doc", "d", "light", "late"],
                 )
 
         side = _side(again)
-        fresh = text.join(side, "doc", "left_semi").mapInArrow(reorder, "doc long, d binary, light array<int>, late array<int>")
+        fresh = text.join(side, "doc", "left_semi").mapInArrow(reorder, "doc long, d binary, light array<long>, late array<long>")
         facts = reps.join(side, "doc", "left_semi").select(F.col("doc").alias("doc_"), F.col("digest").alias("d_"), "n", "copies")
         fresh = written(fresh.join(facts, (F.col("doc") == F.col("doc_")) & (F.col("d") == F.col("d_"))).select("doc", "n", "copies", "light", "late"), "jaccard-reordered")
-        entries = entries.join(side, "doc", "left_anti").unionByName(fresh.select("doc", "n", F.explode("light").alias("key")))
-        dense = dense_groups(fresh.select("doc", "n", "copies", F.explode("late").alias("key")))
+        entries = entries.join(side, "doc", "left_anti").unionByName(fresh.select("doc", "n", "copies", F.explode("light").alias("key")))
+        late = fresh.select("doc", "n", "copies", F.explode("late").alias("key"))
 
     total = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
-    pairs = entries.repartition(parts, "key").mapInArrow(_pairs_of_lists(small), "a long, b long, na int, nb int")
-    if dense is not None:
-        led = dense.where(F.col("doc") != F.col("leader")).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"), F.when(F.col("doc") < F.col("leader"), F.col("n")).otherwise(F.col("ln")).alias("na"), F.when(F.col("doc") < F.col("leader"), F.col("ln")).otherwise(F.col("n")).alias("nb"))
-        pairs = pairs.unionByName(led.where("4 * least(na, nb) >= 3 * greatest(na, nb)"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
-    sk = reps.select("doc", "sketch")
-    close = pairs.join(sk.toDF("a", "ka"), "a").join(sk.toDF("b", "kb"), "b")
+    # Leaders come first: most copies, then the smallest id.
+    dealt = entries.repartition(parts, "key").sortWithinPartitions("key", F.desc("copies"), "doc")
+    lists = written(dealt.mapInArrow(leaders(LIST), "list long, leader long, ln int, doc long, n int, c int"), "jaccard-lists")
+    dense = lists.where(F.col("c") > LIST).select("leader", "doc", "ln", "n")
+    if late is not None:
+        dense = dense.unionByName(late_groups(late))
+    dense = written(dense.distinct(), "jaccard-dense")
+
+    sketches = reps.select("doc", "n", "sketch")
+    met = lists.where(F.col("c") <= LIST).select("leader", "doc", "ln", "n").unionByName(dense)
+    met = met.where("doc <> leader and 4 * least(n, ln) >= 3 * greatest(n, ln)").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    close = met.join(sketches.toDF("a", "na", "ka"), "a").join(sketches.toDF("b", "nb", "kb"), "b")
     close = written(close.mapInArrow(_possible, "a long, b long"), "jaccard-close")
-
-    involved = close.select(F.col("a").alias("doc")).union(close.select("b"))
-    if dense is not None:
-        involved = involved.union(dense.select("doc"))
-    involved = written(involved.distinct(), "jaccard-involved")
-    sets = written(text.join(_side(involved), "doc", "left_semi").mapInArrow(_sets, "doc long, s binary").distinct(), "jaccard-sets")
-    linked = written(close.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(_linked, "a long, b long"), "jaccard-linked")
-    edges.append(linked)
-    if dense is not None:
-        edges.append(dense_links(dense, linked, sets))
+    sets = _sets_of(text, close.select("a").union(close.select("b")).union(dense.select("doc")).union(dense.select("leader")))
+    linked = _verified(close, sets)
+    near = linked.select(F.col("a").alias("leader"), F.col("b").alias("doc"), F.lit(True).alias("near"))
+    edges += [linked, dense_links(dense, near, sets)]
+
+    # Short lists again, where a set is apart from its leader. Equal lists have one number.
+    rest = lists.where(F.col("c").between(3, LIST)).select("list", "leader", "doc", "n").dropDuplicates(["list", "doc", "n"]).join(near, ["leader", "doc"], "left")
+    rest = rest.select("list", "doc", "n", F.col("near").isNull().alias("apart")).withColumn("any", F.max("apart").over(Window.partitionBy("list"))).where("any").drop("any")
+    rest = rest.join(sketches, ["doc", "n"]).repartition(parts, "list").sortWithinPartitions("list")
+    others = written(rest.mapInArrow(rest_of_lists(small), "a long, b long").distinct(), "jaccard-rest")
+    edges.append(_verified(others, _sets_of(text, others.select("a").union(others.select("b")))))
 
     union = edges[0]
     for e in edges[1:]:
@@ -286,8 +291,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _moved(frequent: DataFrame) -> np.ndarray:
-    """The keys as a sorted array: at most MOVED, four bytes each."""
-    return np.sort(frequent.select("key").toArrow()["key"].to_numpy().astype(np.int32))
+    """The shingles as a sorted array: at most MOVED, eight bytes each."""
+    return np.sort(frequent.select("key").toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sets_of(text: DataFrame, docs: DataFrame) -> DataFrame:
+    """The shingle sets of some documents, made anew from their texts."""
+    ids = written(docs.toDF("doc").distinct(), "jaccard-involved")
+    return written(text.join(_side(ids), "doc", "left_semi").mapInArrow(_sets, "doc long, s binary").distinct(), "jaccard-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return written(both.mapInArrow(_linked, "a long, b long").distinct(), "jaccard-linked")
 
 
 def subset_links(sets: DataFrame, small: int) -> DataFrame:
@@ -318,43 +335,97 @@ def subset_links(sets: DataFrame, small: int) -> DataFrame:
     return rows.join(centre, "key").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
 
 
-def _pairs_of_lists(small: int):
+def leaders(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entries ordered by list, leaders first, to one row for each member but the
+    leader: ``list, leader, ln, doc, n, c``. ``c`` is the number of members, or
+    ``most + 1`` for all longer lists, which pass through without being held. Lists
+    of three to ``most`` members are numbered by who is in them."""
+
+    def rows(key: np.ndarray, doc: np.ndarray, n: np.ndarray, lead: tuple | None = None) -> pa.RecordBatch:
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[at, len(key)]) if lead is None else np.array([most + 1])
+        of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
+        number = np.add.reduceat(_final(doc.view(np.uint64) * _MIX[0] + _MIX[1]), at)
+        number = np.where((length >= 3) & (length <= most), number.view(np.int64), key[at])
+        leader, ln = (doc[at][of], n[at][of]) if lead is None else (np.full(len(key), lead[0]), np.full(len(key), lead[1], np.int32))
+        keep = (length[of] > 1) & (doc != leader)
+        columns = (number[of], leader, ln, doc, n, np.minimum(length, most + 1)[of].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["list", "leader", "ln", "doc", "n", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        table = pa.Table.from_batches(batches)
-        key, doc, n = (table[c].to_numpy() for c in ("key", "doc", "n"))
-        order = np.lexsort((doc, n, key))
-        key, doc, n = key[order], doc[order], n[order]
-        run_ = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        length = np.diff(np.r_[run_, len(key)])
-        again = np.repeat(length > 1, length)
-        key, doc, n = key[again], doc[again], n[again]
-        got, held = [], 0
-        d = 1
-        while d < len(key):
-            i = np.flatnonzero(key[:-d] == key[d:])
-            if not len(i):
-                break
-            j = i + d
-            i, j = (x[(4 * n[i].astype(np.int64) >= 3 * n[j].astype(np.int64)) & (n[j] > small) & (doc[i] != doc[j])] for x in (i, j))
-            swap = doc[i] > doc[j]
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            got.append(np.rec.fromarrays([doc[a], doc[b], n[a], n[b]], names="a,b,na,nb"))
-            held += len(a)
-            if held > 500_000:
-                yield from _emit_pairs(got)
-                got, held = [], 0
-            d += 1
-        yield from _emit_pairs(got)
+        held, long = None, None
+        for b in batches:
+            new = [b.column(c).to_numpy() for c in ("key", "doc", "n")]
+            if long is not None:  # a list that is known to be long goes on
+                k = int(np.searchsorted(new[0], long[0], "right"))
+                if k:
+                    yield rows(*(x[:k] for x in new), long[1:])
+                new = [x[k:] for x in new]
+                if not len(new[0]):
+                    continue
+                long = None
+            if held is not None:
+                new = [np.concatenate(x) for x in zip(held, new)]
+            last = int(np.searchsorted(new[0], new[0][-1], "left")) if len(new[0]) else 0
+            if last:
+                yield rows(*(x[:last] for x in new))
+            held = [x[last:] for x in new]
+            if len(held[0]) > most:
+                long = (held[0][0], held[1][0], held[2][0])
+                yield rows(*held, long[1:])
+                held = None
+        if held is not None and len(held[0]):
+            yield rows(*held)
+
+    return run
+
+
+def rest_of_lists(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``list, doc, n, apart, sketch`` ordered by list to the pairs of a list of which
+    one is apart from the leader and whose sketches and sizes do not rule out a link."""
+
+    def pairs(rows: list[tuple[int, int, bool, bytes]]) -> Iterator[tuple[int, int]]:
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            by.setdefault(len(r[3]), []).append(i)
+        doc, n, apart = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+        words = {w: np.frombuffer(b"".join(rows[i][3] for i in at), np.uint64).reshape(len(at), -1) for w, at in by.items()}
+        for wide, x in words.items():
+            i = np.array(by[wide])
+            for narrow in (w for w in (wide, wide // 2) if w in words):  # sizes that link are at most one fold apart
+                y, j, own = words[narrow], np.array(by[narrow]), x
+                if narrow < wide:
+                    own = x[:, : y.shape[1]] ^ x[:, y.shape[1] :]
+                fit = (apart[i][:, None] | apart[j]) & (4 * np.minimum(n[i][:, None], n[j]) >= 3 * np.maximum(n[i][:, None], n[j])) & (np.maximum(n[i][:, None], n[j]) > small) & (doc[i][:, None] != doc[j])
+                if wide == narrow:
+                    fit &= i[:, None] < j
+                p, q = np.nonzero(fit)
+                for lo in range(0, len(p), 4096):
+                    s = slice(lo, lo + 4096)
+                    differ = np.bitwise_count(own[p[s]] ^ y[q[s]]).sum(1, dtype=np.int64)
+                    ok = 7 * differ <= n[i[p[s]]] + n[j[q[s]]]
+                    yield from zip(np.minimum(doc[i[p[s]][ok]], doc[j[q[s]][ok]]).tolist(), np.maximum(doc[i[p[s]][ok]], doc[j[q[s]][ok]]).tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out = None, [], set()
+        for b in batches:
+            for number, *row in zip(*(b.column(c).to_pylist() for c in ("list", "doc", "n", "apart", "sketch"))):
+                if number != at:
+                    out.update(pairs(rows))
+                    at, rows = number, []
+                rows.append(row)
+            if out:
+                yield _pairs(out)
+                out = set()
+        out.update(pairs(rows))
+        yield _pairs(out)
 
     return run
 
 
-def _emit_pairs(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if got and (rows := np.unique(np.concatenate(got))).size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
+def _pairs(out: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,59 +457,66 @@ def _next_keys(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = sent.value
         for _, sets in _texts(batches):
-            out = [np.zeros(0, np.int32)]
+            out = [np.zeros(0, np.uint64)]
             for s in sets:
                 if len(s):
-                    k, p = keys_of(s), prefix_length(len(s))
-                    out.append(k[p : p + 3 * int(among(k[:p], moved).sum())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["key"])
+                    p = prefix_length(len(s))
+                    out.append(s[p : p + 3 * int(among(s[:p], moved).sum())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["key"])
 
     return run
 
 
-def dense_groups(late: DataFrame) -> DataFrame:
-    """``leader, ln, doc, n``: documents by the leader of each list of a moved
-    shingle, the one with most copies (ties: the smallest id)."""
+def late_groups(late: DataFrame) -> DataFrame:
+    """``leader, doc, ln, n``: members of each list of a moved shingle with its leader,
+    the one with most copies (ties: the smallest id). Lists may be of any length."""
     late = written(late, "jaccard-late")
-    leaders = late.groupBy("key").agg(F.max(F.struct("copies", (-F.col("doc")).alias("first"), "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = written(leaders.select("key", (-F.col("m.first")).alias("leader"), F.col("m.n").alias("ln")), "jaccard-leaders")
-    return written(late.join(leaders, "key").groupBy("leader", "doc").agg(F.max("ln").alias("ln"), F.max("n").alias("n")), "jaccard-dense")
-
-
-def dense_links(dense: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of dense groups beyond those with the leader. Two documents that both
-    link with it are in one component already; every other pair of the group is
-    compared, those apart from the leader (``left``) block by block with all."""
-    near = linked.union(linked.select("b", "a")).toDF("leader", "doc").withColumn("near", F.lit(True)).distinct()
-    rows = dense.join(near, ["leader", "doc"], "left").withColumn("left", F.col("near").isNull() & (F.col("doc") != F.col("leader"))).drop("near", "ln")
-    rows = written(rows, "jaccard-dense-left")
-    counts = rows.groupBy("leader").agg(F.sum(F.col("left").cast("int")).alias("l"), F.count(F.lit(1)).alias("g")).where("l > 0")
-    blocks = written(counts.select("leader", F.expr(f"cast((l + {BLOCK - 1}) div {BLOCK} as int)").alias("lb"), F.expr(f"cast((g + {BLOCK - 1}) div {BLOCK} as int)").alias("gb")), "jaccard-blocks")
-    rows = rows.join(_side(blocks), "leader")
+    first = late.groupBy("key").agg(F.max(F.struct("copies", (-F.col("doc")).alias("first"), "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = written(first.select("key", (-F.col("m.first")).alias("leader"), F.col("m.n").alias("ln")), "jaccard-leaders")
+    return late.join(first, "key").where("doc <> leader").select("leader", "doc", "ln", "n")
+
+
+def dense_links(dense: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of dense groups beyond those with the leader, as a forest of each pair of
+    blocks. Two documents that both link with it are in one component already; those
+    apart from it (``apart``) are compared with all of the group. Blocks hold one size
+    class, and only blocks of neighbouring classes meet."""
+    rows = dense.join(near, ["leader", "doc"], "left").select("leader", "doc", F.col("near").isNull().alias("apart"), F.floor(F.log("n") / float(np.log(RATIO)) + 1e-9).cast("int").alias("z"))
+    rows = written(rows, "jaccard-dense-apart")
+    blocks = rows.groupBy("leader", "z").agg(F.sum(F.col("apart").cast("int")).alias("l"), F.count(F.lit(1)).alias("g"))
+    blocks = blocks.select("leader", "z", F.expr(f"cast((l + {BLOCK - 1}) div {BLOCK} as int)").alias("lb"), F.expr(f"cast((g + {BLOCK - 1}) div {BLOCK} as int)").alias("gb"))
+    blocks = written(blocks, "jaccard-blocks")
+    # (own class, block of the apart, other class, block of all)
+    near_by = blocks.select("leader", "z", "lb", "gb", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z2"))
+    met = near_by.select("leader", "z", "z2", "lb", F.col("gb").alias("own")).join(blocks.select("leader", F.col("z").alias("z2"), F.col("lb").alias("lb2"), F.col("gb").alias("gb2")), ["leader", "z2"])
+    met = written(met, "jaccard-blocks-met")
     bucket = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    apart = rows.where("left").withColumn("i", bucket("lb")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)))
-    whole = rows.withColumn("j", bucket("gb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lb") - 1)))
-    tiles = apart.select("leader", "i", "j", "doc", F.lit(True).alias("apart")).union(whole.select("leader", "i", "j", "doc", F.lit(False).alias("apart")))
-    tiles = tiles.join(sets, "doc")
+    ways = _side(met)
+    x = rows.where("apart").join(ways, ["leader", "z"]).select("leader", "z", bucket("lb").alias("i"), "z2", F.explode(F.sequence(F.lit(0), F.col("gb2") - 1)).alias("j"), "doc", F.lit(True).alias("apart"))
+    y = rows.join(ways.where("lb2 > 0"), ["leader", "z"]).select("leader", F.col("z2").alias("z"), F.explode(F.sequence(F.lit(0), F.col("lb2") - 1)).alias("i"), F.col("z").alias("z2"), bucket("own").alias("j"), "doc", F.lit(False).alias("apart"))
+    tiles = x.union(y).join(sets, "doc")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["apart"]], pdf[~pdf["apart"]]
-        out: list[tuple[int, int]] = []
-        if len(x) and len(y):
-            own = [np.frombuffer(s, np.uint64) for s in y["s"]]
-            sizes = np.array([len(s) for s in own])
-            flat = np.concatenate(own)
-            order = np.argsort(flat, kind="stable")
-            ordered, of = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
-            ids = y["doc"].to_numpy()
-            for doc, s in zip(x["doc"], x["s"]):
-                s = np.frombuffer(s, np.uint64)
-                lo, hi = np.searchsorted(ordered, s, "left"), np.searchsorted(ordered, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                both = np.bincount(of[at], minlength=len(own))
-                hit = (100 * both >= 75 * (len(s) + sizes - both)) & (ids != doc)
-                out += [(doc, v) for v in ids[hit]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return written(tiles.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long"), "jaccard-dense-links")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        own = [np.frombuffer(s, np.uint64) for s in y["s"]]
+        sizes = np.array([len(s) for s in own])
+        flat = np.concatenate(own)
+        order = np.argsort(flat, kind="stable")
+        ordered, of = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+        nodes, at = np.unique(np.concatenate([x["doc"], y["doc"]]), return_inverse=True)
+        i, j = [], []
+        for k, s in enumerate(x["s"]):
+            s = np.frombuffer(s, np.uint64)
+            lo, hi = np.searchsorted(ordered, s, "left"), np.searchsorted(ordered, s, "right")
+            n = hi - lo
+            where = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            both = np.bincount(of[where], minlength=len(own))
+            hit = np.flatnonzero(100 * both >= 75 * (len(s) + sizes - both))
+            i.append(np.full(len(hit), at[k])), j.append(at[len(x) + hit])
+        root = forest(len(nodes), np.concatenate(i), np.concatenate(j))
+        moved = root != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[root[moved]], "b": nodes[moved]})
+
+    return written(tiles.groupBy("leader", "z", "i", "z2", "j").applyInPandas(compare, "a long, b long"), "jaccard-dense-links")
