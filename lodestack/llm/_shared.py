@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.session import shared_dir, written
 
-__all__ = ["bounded_sample", "connected_components", "forest", "held_out", "kept", "shared_dir", "text_batches", "tidy", "written"]
+__all__ = ["bounded_sample", "connected_components", "forest", "held_out", "kept", "shared_dir", "tidy", "written", "written_texts"]
 
 #: Whitespace that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,10 +22,18 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _slot: dict = {}
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Send texts to Python workers in smaller batches than narrow rows."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, TEXT_ROWS)
+def written_texts(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written` for rows made from whole texts in Python workers: they get smaller
+    batches than narrow rows, and the session's own setting holds again afterwards."""
+    conf = df.sparkSession.conf
+    own = conf.get(_BATCH, None)
+    if own is not None:
+        return written(df, name)
+    conf.set(_BATCH, TEXT_ROWS)
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(_BATCH)
 
 
 def kept(key: str, make):
@@ -50,16 +58,18 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, id_col: str, keep: list[str], n: int) -> DataFrame:
-    """At most ``n`` rows, those whose id hashes lowest: the same on every run.
-
-    Ids alone are ranked; the wide columns in ``keep`` are fetched afterwards
-    through a broadcast of those at most ``n`` ids.
-    """
-    ids = rows.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(n)
-    ids = rows.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    return rows.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select(id_col, *keep).limit(n)
+def bounded_sample(ids: DataFrame, n: int, most_bytes: int) -> DataFrame:
+    """At most ``n`` rows of ``ids``, those with the smallest ``x``, as long as their
+    ``bytes`` (of the text behind each) add up to ``most_bytes`` at most; a row that does
+    not fit is passed over. Bounded, so that it can be broadcast; the same on every run
+    if ``x`` and the other columns order the rows."""
+    columns = [c for c in ids.columns if c not in ("x", "bytes")]
+    got, left = [], most_bytes
+    for r in ids.orderBy("x", *columns).limit(n).collect():
+        if r["bytes"] <= left:
+            got.append(tuple(r[c] for c in columns))
+            left -= r["bytes"]
+    return ids.sparkSession.createDataFrame(got, ids.select(*columns).schema)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

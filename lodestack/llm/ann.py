@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm._shared import written
-from lodestack.llm.vectors import matrix, usable, with_same_dim
+from lodestack.llm.vectors import common_dim, matrix, numbers, usable
 
 #: The most rows that the splits are fitted on; index and search cover all rows.
 SAMPLE = 1 << 16
 #: Bytes of that sample at most: fewer rows where vectors are long.
 SAMPLE_BYTES = 64 << 20
 TREES = 10
-#: Sampled rows of a leaf.
-LEAF = 512
+#: Rows of the table that a leaf holds, about, and sampled rows of a leaf at least: the
+#: larger the table, the fewer of the sample's rows share a leaf.
+LEAF, LEAST = 512, 8
 #: A query takes leaves until they hold this many rows, trees together, or more where RECALL needs more.
 SEARCH = 40_000
 #: Share of the nearest that the leaves must hold, over at most so many brute-forced queries.
@@ -132,7 +133,7 @@ def exact(one: DataFrame, probes: pa.Table, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int32()), pa.array(np.take_along_axis(scores, at, 1).ravel() if m else [], pa.float64()), b.column("ids").take(row), b.column("v").take(row)], ["probe", "score", "ids", "v"])
 
     order = Window.partitionBy("probe").orderBy(F.desc("score"), F.col("ids")[0])
-    found = one.select("ids", "v").mapInArrow(best, "probe int, score double, ids array<long>, v array<double>")
+    found = one.select("ids", "v").mapInArrow(best, f"probe int, score double, ids array<long>, v {one.schema['v'].dataType.simpleString()}")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
 
 
@@ -162,27 +163,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """Per query its ``k`` nearest found: ``query_id, rank, vec_id, score``.
 
     A query's own id is never its neighbour. Vectors that are null, zero, hold
-    null or non-finite components, or differ from the common dimension take no
-    part, nor do null ids. Repeated ids count once per distinct vector. Ties go
+    null or non-finite components, or differ from the common dimension of ``vectors``
+    take no part, nor do null ids. Repeated ids count once per distinct vector. Ties go
     to the smaller id. Empty input gives an empty result. Leaves are taken until
     they hold ``enough`` rows, by default the larger of ``SEARCH`` and what ``RECALL`` needs.
     """
     spark = vectors.sparkSession
-    take = lambda df: with_same_dim(df.where(usable(vec_col)).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "v")
+    take = lambda df: df.where(usable(vec_col)).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), numbers(vectors, vec_col).cast(kind).alias("v"))
+    kind = vectors.select(numbers(vectors, vec_col).alias("v")).schema["v"].dataType.simpleString()
     rows = take(vectors)
+    dim = common_dim(rows, "v")
+    rows = rows.where(F.size("v") == dim)
     # Equal vectors once: the k + 1 smallest ids are all that a query can need.
     one = rows.distinct().groupBy(F.md5(F.to_json(F.struct("v")).cast("binary")).alias("h"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("s")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.first("v").alias("v"))
     one = one.groupBy("h").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
     one = written(one.select(F.col("ids")[0].alias("rep"), "ids", "v"), "ann-rows")
     result = "query_id long, rank int, vec_id long, score double"
-    total, top, dim = one.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
+    total, top = one.agg(F.count(F.lit(1)), F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))).first()
     if not total:
         return spark.createDataFrame([], result)
     sample = min(sample, max(2, SAMPLE_BYTES // (8 * dim)))
     fit = one.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
     x = lift(matrix(fit["v"]), top).astype(np.float32)
     rng = np.random.default_rng(seed)
-    forest = [Tree(x, rng, leaf) for _ in range(trees)]
+    held = max(LEAST, min(leaf, leaf * len(x) // total))
+    forest = [Tree(x, rng, held) for _ in range(trees)]
     sent = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +197,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             for t, tree in enumerate(sent.value):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(tree.route(y), pa.int64()), b.column("rep"), b.column("ids"), b.column("v")], ["tree", "leaf", "rep", "ids", "v"])
 
-    postings = written(one.mapInArrow(route, "tree int, leaf long, rep long, ids array<long>, v array<double>"), "ann-postings")
+    postings = written(one.mapInArrow(route, f"tree int, leaf long, rep long, ids array<long>, v {kind}"), "ann-postings")
     # One row a leaf: bounded by the sample, whatever the table's size.
     sizes = {(r.tree, r.leaf): r.n for r in postings.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     sent_sizes = spark.sparkContext.broadcast(sizes)
-    asked = take(queries).distinct()
+    asked = take(queries).where(F.size("v") == dim).distinct()
     if enough is None:
         n = max(8, min(PROBES, SAMPLE_BYTES // (8 * dim * (k + 1))))
         probes = asked.orderBy(F.xxhash64("id"), "id", "v").limit(n).toArrow()
@@ -213,7 +218,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf_, pa.int64()), pa.array(part, pa.int32()), b.column("id").take(at), b.column("v").take(at)], ["tree", "leaf", "part", "id", "v"])
 
-    asked = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(walk, "tree int, leaf long, part int, id long, v array<double>")
+    asked = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(walk, f"tree int, leaf long, part int, id long, v {kind}")
     big = spark.createDataFrame([(t, lf, -(-n // BLOCK)) for (t, lf), n in sizes.items() if n > BLOCK] or [(-1, -1, 1)], "tree int, leaf long, blocks long")
     dealt = postings.join(F.broadcast(big), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import kept, text_batches, tidy
+from lodestack.llm._shared import kept, tidy
 
 #: Distinct words kept by a Python worker in each of two generations.
 CACHE = 100_000
@@ -143,13 +143,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
             ids = pa.array([enc(t.as_py()) for t in b.column("t")], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
 
-    text_batches(docs.sparkSession)
     out = src.mapInArrow(lambda it: tidy(run(it)), f"{fields}{', ' if keep else ''}ids binary")
     return out.toDF(*keep, "ids")
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``tokens`` plus the binary ``out_col``: the pieces of its ids, concatenated."""
+    """``tokens`` plus the binary ``out_col``: the pieces of its ids, concatenated. Null
+    ids decode to nothing; ids outside the vocabulary, and bytes that are no whole ids, to null."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece
@@ -157,8 +157,12 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
 
     @F.arrow_udf("binary")
     def join(ids: pa.Array) -> pa.Array:
-        piece = sent.value.__getitem__
-        return pa.array([b"".join(map(piece, np.frombuffer(b.as_py() or b"", "<u4").tolist())) for b in ids], pa.binary())
+        known, piece, out = len(sent.value), sent.value.__getitem__, []
+        for b in ids:
+            b = b.as_py() or b""
+            at = np.frombuffer(b, "<u4") if len(b) % 4 == 0 else None
+            out.append(None if at is None or (len(at) and at.max() >= known) else b"".join(map(piece, at.tolist())))
+        return pa.array(out, pa.binary())
 
     return tokens.withColumn(out_col, join(F.col(ids_col)))
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, forest, kept, text_batches, written
+from lodestack.llm._shared import connected_components, forest, kept, written, written_texts
 
 WORDS = 5
 #: Sets up to this size may be small; the cost model picks the boundary below it.
@@ -203,9 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are one node, with the links of all their texts. Ids are integers.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sig = written(text.mapInArrow(signatures, SIGNATURE), "jaccard-signatures")
+    sig = written_texts(text.mapInArrow(signatures, SIGNATURE), "jaccard-signatures")
     linkable = sig.where("doc is not null and n > 0")
     classes = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     several = written(classes.where("copies > 1"), "jaccard-copies")
@@ -228,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         affected = text.join(_side(written(touched(moved), "jaccard-touched")), "doc", "left_semi")
         # What takes their place may be frequent too: the shingles next in order are counted as well.
         behind = affected.mapInArrow(_next_keys(spark.sparkContext.broadcast(moved)), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-        moved = _moved(written(frequent(first.unionByName(behind).groupBy("key").agg(F.sum("c").alias("c")), "c"), "jaccard-frequent"))
+        moved = _moved(written_texts(frequent(first.unionByName(behind).groupBy("key").agg(F.sum("c").alias("c")), "c"), "jaccard-frequent"))
         again = written(touched(moved), "jaccard-touched")
         sent = spark.sparkContext.broadcast(moved)
 
@@ -245,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = _side(again)
         fresh = text.join(side, "doc", "left_semi").mapInArrow(reorder, "doc long, d binary, light array<long>, late array<long>")
         facts = reps.join(side, "doc", "left_semi").select(F.col("doc").alias("doc_"), F.col("digest").alias("d_"), "n", "copies")
-        fresh = written(fresh.join(facts, (F.col("doc") == F.col("doc_")) & (F.col("d") == F.col("d_"))).select("doc", "n", "copies", "light", "late"), "jaccard-reordered")
+        fresh = written_texts(fresh.join(facts, (F.col("doc") == F.col("doc_")) & (F.col("d") == F.col("d_"))).select("doc", "n", "copies", "light", "late"), "jaccard-reordered")
         entries = entries.join(side, "doc", "left_anti").unionByName(fresh.select("doc", "n", "copies", F.explode("light").alias("key")))
         late = fresh.select("doc", "n", "copies", F.explode("late").alias("key"))
 
@@ -298,7 +297,7 @@ def _moved(frequent: DataFrame) -> np.ndarray:
 def _sets_of(text: DataFrame, docs: DataFrame) -> DataFrame:
     """The shingle sets of some documents, made anew from their texts."""
     ids = written(docs.toDF("doc").distinct(), "jaccard-involved")
-    return written(text.join(_side(ids), "doc", "left_semi").mapInArrow(_sets, "doc long, s binary").distinct(), "jaccard-sets")
+    return written_texts(text.join(_side(ids), "doc", "left_semi").mapInArrow(_sets, "doc long, s binary").distinct(), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

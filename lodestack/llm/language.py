@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import held_out, text_batches, tidy
+from lodestack.llm._shared import bounded_sample, held_out, tidy
 
-#: Rows of each language that training reads at most, and languages at most.
-PER_LANGUAGE, MAX_LANGUAGES = 800, 200
+#: The bounded sample of training: rows of each language at most, rows and bytes of text in all.
+PER_LANGUAGE, ROWS, SAMPLE_BYTES = 800, 6_400, 64 << 20
+#: Languages that are learnt: those with most labelled rows (ties by code point); other
+#: values of a label column, such as junk, are not.
+LANGUAGES = 400
 FEATURES = 1 << 12
 #: Bytes turned into features at a time.
 CHUNK = 4 << 20
@@ -66,16 +69,17 @@ _CLASS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """A linear machine with squared hinge loss (y in -1, 1), by accelerated
-    gradient steps; classes weigh equally. The last weight is the bias."""
+    """Linear machines with squared hinge loss (y in -1, 1; a machine a column), by
+    accelerated gradient steps; classes weigh equally. The last weight is the bias."""
+    y = y.reshape(len(x), -1)
     x = np.column_stack([x, np.ones(len(x), np.float32)])
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
-    step = 1 / (4 + reg)
+    cost = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(0)), 0.5 / np.maximum(1, (y < 0).sum(0))).astype(np.float32)
+    w = v = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    step = np.float32(1 / (4 + reg))
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (reg * v - 2 * (cost * y * slack) @ x)
-        v = new + t / (t + 3) * (new - w)
+        new = v - step * (np.float32(reg) * v - 2 * (x.T @ (cost * y * slack)))
+        v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
     return w
 
@@ -121,38 +125,38 @@ def train(texts: list[str], langs: list[str]) -> Model:
         one = svm(x, np.where(of == fams[0], 1, -1).astype(np.float32))
         w = np.column_stack([one, -one])
     else:
-        w = np.column_stack([svm(x, np.where(of == f, 1, -1).astype(np.float32)) for f in fams])
+        w = svm(x, np.where(of[:, None] == np.array(fams, object), 1, -1).astype(np.float32))
     languages = [[n for n in names if family(n) == f] for f in fams]
     pairs = []
     for group in languages:
         own = []
         for a, b in combinations(range(len(group)), 2):
             rows = (langs_ == group[a]) | (langs_ == group[b])
-            own.append((a, b, svm(x[rows], np.where(langs_[rows] == group[a], 1, -1).astype(np.float32))))
+            own.append((a, b, svm(x[rows], np.where(langs_[rows] == group[a], 1, -1).astype(np.float32))[:, 0]))
         pairs.append(own)
     return Model(fams, w.astype(np.float32), languages, pairs)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Train on at most ``per_language`` rows of each language outside the
-    held-out third, those whose id hashes lowest. None without such rows."""
+    """Train on rows outside the held-out third, those whose id hashes lowest: at most
+    ``per_language`` of each language, ``ROWS`` and ``SAMPLE_BYTES`` of text in all, shared
+    evenly; a text that does not fit is passed over. None without such rows."""
     spark = docs.sparkSession
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = rows.groupBy(F.col(lang_col).alias("l")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
+    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
     if not counts:
         return None
+    per = min(per_language, max(1, ROWS // len(counts)))
     # A bar on the hash leaves some more rows than are wanted before they are ranked.
-    enough = per_language + 6 * per_language**0.5 + 50
+    enough = per + 6 * per**0.5 + 50
     bars = spark.createDataFrame([(r.l, int(min(1.0, enough / r["count"]) * (1 << 64)) - (1 << 63) - 1) for r in counts], "l string, bar long")
-    few = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).join(F.broadcast(bars), "l").where(F.xxhash64("i") <= F.col("bar"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    ids = few.withColumn("r", rank).where(F.col("r") <= per_language).select("i", "l").collect()
-    table = F.broadcast(spark.createDataFrame(ids, "i " + rows.schema[id_col].dataType.simpleString() + ", l string").distinct())
-    got = rows.join(table, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("i", "l", F.col(text_col).alias("t"))
-    got = sorted(got.limit(len(ids)).collect(), key=lambda r: (r.i, r.t))
-    return train([r.t for r in got], [r.l for r in got])
+    few = rows.select("i", "l", F.octet_length("t").alias("bytes"), F.xxhash64("i").alias("h")).join(F.broadcast(bars), "l").where("h <= bar").drop("bar")
+    few = few.groupBy("i", "l", "h").agg(F.sum("bytes").cast("long").alias("bytes"))  # rows that share an id come together
+    few = few.withColumn("x", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("x") <= per)
+    ids = bounded_sample(few.select("x", "i", "l", "bytes"), ROWS, SAMPLE_BYTES)
+    got = rows.join(F.broadcast(ids), ["i", "l"]).select("i", "l", "t").orderBy("i", "l", "t").limit(2 * ROWS).collect()
+    return train([r.t for r in got], [r.l for r in got]) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -176,7 +180,6 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
                         lang[lo + i], score[lo + i] = g, s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    text_batches(docs.sparkSession)
     return src.mapInArrow(lambda it: tidy(run(it)), fields).toDF(*keep, "lang_pred", "score")
 
 

@@ -2,9 +2,12 @@
 
 A logistic document classifier over text statistics gives each document's
 evidence. Grouped aggregation gives every host and every path under it a mean
-of that evidence; sparse sites shrink: a path towards its host, a host towards
-the corpus, by weights estimated from the spread between sites. The score is
-the posterior odds: the document's likelihood ratio times the odds of its path.
+of what is known of its other documents, their label where training may see it
+and else their evidence; sparse sites shrink: a path towards its host, a host
+towards the corpus, by weights estimated from the spread between sites. The score
+is the posterior odds: the document's likelihood ratio times the odds of its path.
+A document is left out of the means of its own sites, so that its evidence counts
+once and its label never.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import bounded_sample, held_out, text_batches, tidy, written
+from lodestack.llm._shared import bounded_sample, held_out, tidy, written, written_texts
 
-#: Labelled rows that training reads at most.
-SAMPLE = 6_000
+#: Labelled rows and bytes of their texts that training reads at most.
+SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
 #: Site tables of more rows are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -82,7 +85,6 @@ def evidence(docs: DataFrame, fitted: tuple, keep: list[Column], text_col: str)
             p = 1 / (1 + np.exp(-np.clip(expand((x - mean) / scale) @ w, -12, 12)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*b.schema.names[:-1], "p"])
 
-    text_batches(docs.sparkSession)
     return src.mapInArrow(lambda it: tidy(run(it)), fields)
 
 
@@ -103,40 +105,47 @@ def strength(sites: DataFrame, mean: Column, spread_of: str) -> float:
 def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """``id, held_out, evidence, host_posterior, path_posterior, score, keep`` of every row.
 
-    Null hosts and paths are sites of their own. Without labels of both kinds
-    the classifier is flat and scores follow the sites. Sums are taken in whole
+    Null hosts and paths are sites of their own. An id with several labels counts
+    with its largest; labels of the held-out third are not read. Training takes the
+    labelled documents whose id hashes lowest, within its bounds. Without labels of both
+    kinds the classifier is flat and scores follow the sites. Sums are taken in whole
     millionths, so that reruns agree.
     """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__l")).agg(F.max(label_col).alias("__y"))
-    rows = bounded_sample(known.where(~held_out("__l")), "__l", ["__y"], sample)
-    text = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
-    got = text.join(F.broadcast(rows), F.col("__i") == F.col("__l")).select("__i", "__t", "__y").limit(sample).collect()
-    got = sorted(got, key=lambda r: (r["__i"], r["__t"] or ""))
-    x = np.array([statistics(r["__t"]) for r in got]).reshape(-1, len(NAMES))
-    y = np.array([r["__y"] for r in got], np.float64)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l")).agg(F.max(label_col).alias("y")).where(~held_out("l"))
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    sized = text.select("id", F.octet_length("t").alias("bytes")).join(known, F.col("id") == F.col("l"))
+    sized = sized.groupBy("id", "y").agg(F.sum("bytes").cast("long").alias("bytes")).select(F.xxhash64("id").alias("x"), "id", "y", "bytes")
+    drawn = bounded_sample(sized, sample, SAMPLE_BYTES)
+    got = text.join(F.broadcast(drawn), "id").select("id", "t", "y").orderBy("id", "t").limit(2 * sample).collect()
+    x = np.array([statistics(r["t"]) for r in got]).reshape(-1, len(NAMES))
+    y = np.array([r["y"] for r in got], np.float64)
     k = 2 * len(NAMES) + 1
     fitted = logistic(x, y) if 0 < y.sum() < len(y) else (np.zeros(k), np.zeros(len(NAMES)), np.ones(len(NAMES)))
     base = min(0.99, max(0.01, float(y.mean()))) if len(y) else 0.5
 
-    ev = written(evidence(docs, fitted, [F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path")], text_col), "quality-evidence")
-    micro = F.round(F.col("p") * MICRO).cast("long")
-    paths = written(ev.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), (F.sum(micro) / MICRO).alias("s"), (F.sum(F.round(F.col("p") * (1 - F.col("p")) * MICRO).cast("long")) / MICRO).alias("v")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), (F.sum(F.round(F.col("s") * MICRO).cast("long")) / MICRO).alias("s"), (F.sum(F.round(F.col("v") * MICRO).cast("long")) / MICRO).alias("v"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = min(0.99, max(0.01, total.s / total.n)) if total.n else 0.5
-    spread = mean * (1 - mean)
-    hosts = hosts.withColumn("spread", F.lit(spread))
-    kh = strength(hosts, F.lit(mean), "spread")
-    hosts = hosts.select("host", ((F.col("s") + kh * mean) / (F.col("n") + kh)).alias("host_posterior"))
-    small = hosts.count() <= BROADCAST_ROWS
-    sites = paths.join(F.broadcast(hosts) if small else hosts, "host").withColumn("spread", F.lit(spread))
-    kp = strength(sites, F.col("host_posterior"), "spread")
-    sites = sites.select("host", "path", "host_posterior", ((F.col("s") + kp * F.col("host_posterior")) / (F.col("n") + kp)).alias("path_posterior"))
+    site = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    ev = written_texts(evidence(docs, fitted, [F.col(id_col).alias("id"), site(host).alias("host"), site(path).alias("path")], text_col), "quality-evidence")
+    # what the sites know of a document, in millionths: its label, else its evidence
+    whole = lambda c: F.round(c * MICRO).cast("long")
+    ev = ev.join(known, F.col("id") == F.col("l"), "left").select("id", "host", "path", "p", F.coalesce(F.col("y").cast("long") * MICRO, whole(F.col("p"))).alias("m"))
+    ev = written(ev, "quality-known")
+    paths = written(ev.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("s")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
+    mean = min(0.99, max(0.01, total.s / MICRO / total.n)) if total.n else 0.5
+    spread = F.lit(mean * (1 - mean))
+    kh = strength(hosts.select(F.col("hn").alias("n"), (F.col("hs") / MICRO).alias("s"), spread.alias("spread")), F.lit(mean), "spread")
+    sites = paths.join(hosts, "host")
+    prior = (F.col("hs") / MICRO + kh * mean) / (F.col("hn") + kh)
+    kp = strength(sites.select("n", (F.col("s") / MICRO).alias("s"), prior.alias("prior"), spread.alias("spread")), F.col("prior"), "spread")
     if paths.count() <= BROADCAST_ROWS:
         out = ev.join(F.broadcast(sites), ["host", "path"])
     else:  # a site may hold a third of all rows: its rows are salted, the sites repeated
         salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = ev.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+        out = ev.withColumn("salt", F.pmod(F.xxhash64("id", "m"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+    others = lambda s, n, prior, k: ((F.col(s) - F.col("m")) / MICRO + k * prior) / (F.col(n) - 1 + k)
+    out = out.withColumn("host_posterior", others("hs", "hn", F.lit(mean), kh))
+    out = out.withColumn("path_posterior", others("s", "n", F.col("host_posterior"), kp))
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = logit(clip(F.col("p"))) - F.lit(float(np.log(base / (1 - base)))) + logit(clip(F.col("path_posterior")))
     score = 1 / (1 + F.exp(-odds))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import ann, bpe, embed_dedup, jaccard, language, mixing, quality, secrets, toxicity, warc
-from lodestack.llm._shared import written
+from lodestack.llm._shared import written, written_texts
 
 #: The rank file of the tokenizer; any path with the same format will do.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,7 +30,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
     ids = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, "text", ["doc_id"])
     out = bpe.decode(ids, ranks)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return written_texts(out, "bpe-digests")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest_columns(secrets.find_secrets(_table(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id")
+    return written_texts(secrets.digest_columns(secrets.find_secrets(_table(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id"), "secrets-digests")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return written_texts(toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "toxicity-scores")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(_table(spark, sf_dir, "documents"))
+    return written_texts(language.identify(_table(spark, sf_dir, "documents")), "language-scores")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -102,7 +103,7 @@ WITH RECURSIVE d AS (
     ('0x' || substr(md5('mix:' || i), 1, 7))::BIGINT AS u FROM t
 ), p AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.rate, r.u,
-    row_number() OVER (PARTITION BY r.i ORDER BY length(bin(d.size)), ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % r.k, d.size, d.doc_id NULLS FIRST) AS pos
+    row_number() OVER (PARTITION BY r.i ORDER BY length(bin(d.size)), ('0x' || substr(md5(concat_ws(':', d.doc_id::VARCHAR, d.size::VARCHAR)), 1, 8))::BIGINT % r.k, d.size, d.doc_id NULLS FIRST) AS pos
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 )
 SELECT doc_id, size, source_size, target,

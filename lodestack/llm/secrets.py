@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import text_batches, tidy
+from lodestack.llm._shared import tidy
 
 # The three base kinds, in the order in which ties are listed.
 ASSIGN = re.compile(
@@ -135,7 +135,6 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
             cols = [*b.columns[:-1], pa.array(spans, _ARROW)] + [pa.array(texts, pa.string())] * masked
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "spans"] + ["masked"] * masked)
 
-    text_batches(docs.sparkSession)
     return src.mapInArrow(lambda it: tidy(run(it)), ", ".join(fields)).toDF(*keep, "spans", *["masked"] * masked)
 
 

@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import held_out, kept, text_batches, tidy
+from lodestack.llm._shared import bounded_sample, held_out, kept, tidy
 
-#: Labelled rows that training reads at most.
-SAMPLE = 6_000
+#: The bounded sample of training: labelled rows at most, bytes of their texts in all and of one text.
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 6_000, 48 << 20, 1 << 20
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 THRESHOLD = 0.7
 #: Texts that a word must be in to have an embedding; pseudo-texts that shrink its odds; share of words dropped in training.
 RARE, SHRINK, DROP = 4, 3.0, 0.2
+#: Documents of a training step, and words laid side by side at most (one text at least).
+BATCH, WORDS_AT_ONCE = 64, 1 << 17
 #: Words scored at a time, and distinct words a worker remembers.
 CHUNK, CACHE = 1 << 17, 200_000
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&…«»“”„’-"
@@ -122,6 +124,82 @@ def pooled(parts: np.ndarray, ids: np.ndarray, places: int | None = None) -> tup
     return np.concatenate(tops), at
 
 
+def lay(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word rows of several texts side by side, each followed by no words; where each
+    begins; and the places where a filter may begin, as in :func:`pooled`."""
+    gap = np.zeros((max(WIDTHS), CHANNELS), np.int32)
+    rows = np.concatenate([x for d in docs for x in (d, gap)])
+    length = np.array([len(d) for d in docs])
+    starts = np.r_[0, np.cumsum(length + len(gap))[:-1]]
+    ok = np.ones(len(rows), bool)
+    ok[(starts[:, None] + length[:, None] + np.arange(1, len(gap))).ravel()] = False
+    return rows, starts, ok
+
+
+def tops(model: Cnn, rows: np.ndarray, starts: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Maxima of all filters over each text, the places of the first ones, the words' sums."""
+    x = sum(model.emb[rows[:, c]] for c in range(CHANNELS))
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+    found, at, place = [], [], np.arange(len(rows))[:, None]
+    for k, w in enumerate(WIDTHS):
+        s = x @ model.filters[k][0]
+        for j in range(1, w):
+            s[:-j] += x[j:] @ model.filters[k][j]
+        s[~ok] = -np.inf
+        top = np.maximum.reduceat(s, starts)
+        at.append(np.minimum.reduceat(np.where(s == top[of], place, len(rows)), starts))
+        found.append(top)
+    return np.concatenate(found, axis=1), at, x
+
+
+def pieces(docs: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of texts that are laid out together."""
+    out, words = [], 0
+    for i, d in enumerate(docs):
+        if out and words + len(d) > WORDS_AT_ONCE:
+            yield out
+            out, words = [], 0
+        out.append(i)
+        words += len(d)
+    if out:
+        yield out
+
+
+def logits(model: Cnn, docs: list[np.ndarray]) -> np.ndarray:
+    out = [np.maximum(tops(model, *lay([docs[i] for i in part]))[0] + model.bias, 0) @ model.out + model.out_bias for part in pieces(docs)]
+    return np.concatenate([np.zeros(0), *out])
+
+
+def gradients(model: Cnn, docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of the mean logistic loss: by output weights and bias, filter biases, filters, and
+    the embeddings of the rows that filters picked (numbers, then gradients)."""
+    d_o, d_ob, d_b, d_f = np.zeros_like(model.out), 0.0, np.zeros_like(model.bias), [np.zeros_like(f) for f in model.filters]
+    picked, moves = [np.zeros(0, np.int64)], [np.zeros((0, DIM))]
+    for part in pieces(docs):
+        rows, starts, ok = lay([docs[i] for i in part])
+        top, at, x = tops(model, rows, starts, ok)
+        z = top + model.bias
+        h = np.maximum(z, 0)
+        err = (1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30))) - y[part]) / len(docs)
+        d_o += err @ h
+        d_ob += float(err.sum())
+        back = err[:, None] * model.out * (z > 0)
+        d_b += back.sum(0)
+        for k, w in enumerate(WIDTHS):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            for j in range(w):
+                place = at[k] + j
+                d_f[k][j] += np.einsum("bfd,bf->df", x[place], g)
+                own = rows[place]  # texts x filters x channels
+                picked.append(own.ravel())
+                moves.append(np.repeat((g[:, :, None] * model.filters[k][j].T).reshape(-1, DIM), CHANNELS, axis=0))
+    picked, moves = np.concatenate(picked), np.concatenate(moves)
+    some = (picked > 0) & moves.any(1)
+    number, of = np.unique(picked[some], return_inverse=True)
+    d_e = np.stack([np.bincount(of, moves[some, d], len(number)) for d in range(DIM)], axis=1) if len(number) else np.zeros((0, DIM))
+    return d_o, d_ob, d_b, d_f, number, d_e
+
+
 def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: int = 1, rate: float = 0.03) -> Cnn:
     """Adagrad on the logistic loss, with word dropout; the epoch with the least loss
     on a left-out fifth stays.
@@ -134,14 +212,25 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: in
     y = labels.astype(np.float64)
     hold = np.arange(len(texts)) % 5 == 4
     fit, held = np.flatnonzero(~hold), np.flatnonzero(hold)
-    counts: dict[int, list[float]] = {}
+    number: dict[str, int] = {}
+    words = [np.fromiter((number.setdefault(w, len(number)) for w in (t or "").split()), np.int64) for t in texts]
+    # distinct hashes of all words' channels, and the channels of each word among them
+    all_hashes = np.full((len(number), CHANNELS), -1, np.int64)
+    for w, i in number.items():
+        h = hashed(w)
+        all_hashes[i, : len(h)] = h
+    hashes, own = np.unique(np.append(all_hashes, -1), return_inverse=True)  # the first is no word
+    own = own[:-1].reshape(-1, CHANNELS)
+    counts = np.zeros((len(hashes), 2))
     for i in fit:
-        for h in {h for w in set((texts[i] or "").split()) for h in hashed(w)}:
-            c = counts.setdefault(h, [0, 0])
-            c[0] += 1
-            c[1] += y[i]
-    known = sorted(h for h, c in counts.items() if c[0] >= RARE)
-    n = np.array([[0, 0]] + [counts[h] for h in known], np.float64)
+        seen = np.unique(own[np.unique(words[i])])
+        counts[seen] += (1, y[i])
+    counts[0] = 0
+    rows = np.flatnonzero(counts[:, 0] >= RARE)
+    n = np.concatenate([np.zeros((1, 2)), counts[rows]])
+    row_of = np.zeros(len(hashes), np.int32)
+    row_of[rows] = np.arange(1, len(rows) + 1)
+    known = hashes[rows].tolist()
     base = float((y[fit].sum() + 1) / (len(fit) + 2))
     prior = float(np.log(base / (1 - base)))
     share = (n[:, 1] + SHRINK * base) / (n[:, 0] + SHRINK)
@@ -151,42 +240,21 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: in
     model = Cnn({h: i + 1 for i, h in enumerate(known)}, emb, [rng.normal(0, 0.2, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.05, len(WIDTHS) * FILTERS), prior - 2)
     model.filters[0][0, :, 0] = np.eye(DIM)[0]
     model.out[0] = 1.0
-    docs = [model.encode((texts[i] or "").split()) for i in range(len(texts))]
-    with_none = lambda d: np.concatenate([np.zeros((1, CHANNELS), np.int32), d])
-    score = lambda rows: np.array([model.logit(model.parts(with_none(docs[i]))) for i in rows])
+    docs = [row_of[own[w]] for w in words]
     g_e, g_f, g_b, g_o, g_ob = np.full_like(emb, 1e-2), [np.full_like(f, 1e-2) for f in model.filters], np.full_like(model.bias, 1e-2), np.full_like(model.out, 1e-2), 1e-2
     best, least = None, np.inf
+    left_out = [docs[i] for i in held]
     for epoch in range(epochs + 1):
-        z = score(held)
+        z = logits(model, left_out)
         loss = float(np.logaddexp(0, np.where(y[held] == 1, -z, z)).mean()) if len(z) else -float(epoch)
         if loss < least:
             best, least = copy.deepcopy(model), loss
         if epoch == epochs:
             break
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
-            d_o, d_ob, d_b = np.zeros_like(model.out), 0.0, np.zeros_like(model.bias)
-            d_f = [np.zeros_like(f) for f in model.filters]
-            d_e: dict[int, np.ndarray] = {}
-            for i in batch:
-                d = with_none(docs[i][rng.random(len(docs[i])) >= DROP])
-                top, at = pooled(model.parts(d), np.arange(1, len(d)))
-                z = top + model.bias
-                h = np.maximum(z, 0)
-                err = (1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30))) - y[i]) / len(batch)
-                d_o += err * h
-                d_ob += err
-                back = err * model.out * (z > 0)
-                d_b += back
-                padded = np.concatenate([np.arange(1, len(d)), np.zeros(max(WIDTHS), np.int64)])
-                for k, w in enumerate(WIDTHS):
-                    g = back[k * FILTERS : (k + 1) * FILTERS]
-                    for j in range(w):
-                        rows = d[padded[at[k] + j]]
-                        d_f[k][j] += (model.emb[rows].sum(1) * g[:, None]).T
-                        for f in np.flatnonzero(g):
-                            for r in rows[f]:
-                                if r:
-                                    d_e[r] = d_e.get(r, 0) + g[f] * model.filters[k][j, :, f]
+        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
+            if not len(batch):
+                continue
+            d_o, d_ob, d_b, d_f, rows, d_e = gradients(model, [docs[i][rng.random(len(docs[i])) >= DROP] for i in batch], y[batch])
             step = lambda x, d, g: x - rate * d / np.sqrt(g)
             g_o += d_o**2
             g_ob += d_ob**2
@@ -195,12 +263,10 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, seed: in
             for k in range(len(WIDTHS)):
                 g_f[k] += d_f[k] ** 2
                 model.filters[k] = step(model.filters[k], d_f[k], g_f[k])
-            if d_e:
-                rows, grads = np.array(list(d_e)), np.array(list(d_e.values()))
-                g_e[rows] += grads**2
-                model.emb[rows] = step(model.emb[rows], grads, g_e[rows])
+            g_e[rows] += d_e**2
+            model.emb[rows] = step(model.emb[rows], d_e, g_e[rows])
     model = best or model
-    calibrate(model, score(held), np.array([group_of((texts[i] or "").split()) for i in held], int), y[held])
+    calibrate(model, logits(model, left_out), np.array([group_of((texts[i] or "").split()) for i in held], int), y[held])
     return model
 
 
@@ -282,24 +348,24 @@ def score_texts(docs: DataFrame, model: Cnn, keep: list[str], text_col: str = "t
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    text_batches(docs.sparkSession)
     return src.mapInArrow(lambda it: tidy(run(it)), fields).toDF(*keep, "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Cnn:
-    """Train on at most ``sample`` labelled rows outside the held-out third.
-    Labels that are null or of an unknown id are left out; an id with several
-    labels counts with its largest. Copies, texts equal but for case and white space
-    and of one label, count once. Without both classes every score is the base rate's."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.max(label_col).alias("__y")).where(~held_out("__i"))
-    text = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where(F.col("__i").isNotNull() & ~held_out("__i"))
-    digest = F.md5(F.trim(F.lower(F.regexp_replace(F.coalesce("__t", F.lit("")), r"\s+", " "))).cast("binary"))
-    once = text.select("__i", digest.alias("__h")).distinct().join(known, "__i").groupBy("__h", "__y").agg(F.min(F.struct(F.xxhash64("__i").alias("x"), F.col("__i").alias("i"))).alias("r"))
-    drawn = once.select("r.x", F.col("r.i").alias("__i"), "__h", "__y").orderBy("x", "__i", "__h").limit(sample).drop("x")
-    drawn = docs.sparkSession.createDataFrame(drawn.collect(), drawn.schema)
-    got = text.join(F.broadcast(drawn.select("__i").distinct()), "__i").withColumn("__h", digest).join(F.broadcast(drawn), ["__i", "__h"])
-    got = got.dropDuplicates(["__i", "__h", "__y"]).orderBy(F.xxhash64("__i"), "__h").collect()
-    return train([r["__t"] for r in got], np.array([r["__y"] for r in got], np.int64))
+    """Train on at most ``sample`` labelled rows outside the held-out third, within the
+    bounds in bytes; longer texts are passed over. Labels that are null or of an unknown
+    id are left out; an id with several labels counts with its largest. Copies, texts equal
+    but for case and white space and of one label, count once. Without both classes every
+    score is the base rate's."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y")).where(~held_out("i"))
+    text = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.col("i").isNotNull() & ~held_out("i"))
+    digest = F.md5(F.trim(F.lower(F.regexp_replace("t", r"\s+", " "))).cast("binary")).alias("h")
+    sized = text.select("i", F.octet_length("t").cast("long").alias("bytes"), digest).where(F.col("bytes") <= TEXT_BYTES)
+    once = sized.join(known, "i").groupBy("h", "y").agg(F.min(F.struct(F.xxhash64("i").alias("x"), "i", "bytes")).alias("r"))
+    drawn = bounded_sample(once.select("r.x", "r.i", "h", "y", "r.bytes"), sample, SAMPLE_BYTES)
+    got = text.join(F.broadcast(drawn.select("i").distinct()), "i").withColumn("h", digest).join(F.broadcast(drawn), ["i", "h"])
+    got = got.groupBy("i", "h", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "h", "y").collect()
+    return train([r["t"] for r in got], np.array([r["y"] for r in got], np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

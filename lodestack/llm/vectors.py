@@ -15,10 +15,16 @@ def usable(vec: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def with_same_dim(vectors: DataFrame, vec_col: str) -> DataFrame:
-    """Rows with the most common dimension (ties: the larger); others cannot be compared."""
+def common_dim(vectors: DataFrame, vec_col: str) -> int:
+    """The most common dimension (ties: the larger), 0 without rows."""
     dims = vectors.groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return vectors.where(F.size(vec_col) == (dims[0].d if dims else 0))
+    return dims[0].d if dims else 0
+
+
+def numbers(vectors: DataFrame, vec_col: str) -> Column:
+    """The vector as it travels: floats stay floats, which double arithmetic reads exactly."""
+    own = vectors.schema[vec_col].dataType.simpleString()
+    return F.col(vec_col) if own in ("array<float>", "array<double>") else F.col(vec_col).cast("array<double>")
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:

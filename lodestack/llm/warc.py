@@ -23,37 +23,47 @@ from lodestack.llm._shared import shared_dir, written
 
 #: Payloads below this many bytes never become revisits.
 LEAST_PAYLOAD = 100
-#: Bytes of payload that go to one archive, about; bounds a reading task's memory.
+#: Bytes of an archive before compression at most, but for a single larger capture; bounds a reading task's memory.
 ARCHIVE_BYTES = 8 << 20
-#: First captures of repeated payloads up to this many are broadcast (about 100 bytes each).
+#: Captures are written by size class, each of up to so many bytes of payload, so that a number of captures bounds an archive's bytes.
+CLASSES = [1 << 12, 1 << 16, 1 << 20, ARCHIVE_BYTES]
+#: Bytes of a capture besides payload and three times its url, at most.
+HEADERS = 2_000
+#: First captures of repeated payloads up to this many are broadcast (about 200 bytes each).
 BROADCAST_ROWS = 200_000
 #: Beyond that, rows of the table of first captures are repeated so often, to spread a hot payload.
 SALTS = 16
 CRLF = "\r\n"
 
 
+def by_hot_key(rows: DataFrame, table: DataFrame, key: str, table_key: str, spread: str) -> DataFrame:
+    """``rows`` left joined to a table with unique ``table_key``, whose rows a hot key may
+    ask for: broadcast if its counted rows are few, else repeated and dealt by ``spread``."""
+    if table.count() <= BROADCAST_ROWS:  # payloads stay where they are
+        return rows.join(F.broadcast(table), F.col(key) == F.col(table_key), "left").drop(table_key)
+    table = table.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    return rows.join(table, (F.col(key) == F.col(table_key)) & (salt == F.col("__s")), "left").drop(table_key, "__s")
+
+
 def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """``pages`` plus ``payload_bytes``, ``payload_digest`` and ``first_id``.
+    """``pages`` plus ``place``, ``payload_bytes``, ``payload_digest``, ``first_id`` and ``first_place``.
 
-    ``first_id`` is the smallest id among captures of an equal payload of at
-    least ``LEAST_PAYLOAD`` bytes, where there are several ids; null where the
-    capture stands for itself. A null payload is an empty one. Repeated rows of
-    the smallest id all stand for themselves.
+    ``place`` numbers the rows. ``first_id`` is the smallest id among captures of an
+    equal payload of at least ``LEAST_PAYLOAD`` bytes, where there are several ids, and
+    ``first_place`` its row; both are null where the capture stands for itself. A null
+    payload is an empty one. Repeated rows of the smallest id all stand for themselves.
+    The rows are written first, so that their numbers stay what they are.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    narrow = pages.select(F.col(id_col).alias("id"), F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest"))
-    firsts = narrow.where(F.col("n") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    firsts = written(firsts.where("first_id < last_id").select(F.col("digest").alias("__digest"), "first_id"), "warc-firsts")
-    same = F.col("payload_digest") == F.col("__digest")
-    if firsts.count() <= BROADCAST_ROWS:  # payloads stay where they are
-        out = rows.withColumn("__s", F.lit(0)).join(F.broadcast(firsts), same, "left")
-    else:
-        firsts = firsts.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = rows.join(firsts, same & (F.col("__salt") == F.col("__s")), "left")
-    first = F.when(F.col("first_id") < F.col(id_col), F.col("first_id"))
-    return out.withColumn("first_id", first).drop("__digest", "__s", "__salt")
+    rows = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256), "place": F.monotonically_increasing_id()})
+    rows = written(rows, "warc-pages")
+    narrow = rows.where(F.col("payload_bytes") >= LEAST_PAYLOAD).where(F.col(id_col).isNotNull())
+    firsts = narrow.groupBy(F.col("payload_digest").alias("__digest")).agg(F.min(F.struct(F.col(id_col).alias("id"), "place")).alias("f"), F.max(id_col).alias("last_id"))
+    firsts = written(firsts.where("f.id < last_id").select("__digest", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")), "warc-firsts")
+    out = by_hot_key(rows, firsts, "payload_digest", "__digest", "place")
+    again = F.col("first_id") < F.col(id_col)
+    return out.withColumns({"first_id": F.when(again, F.col("first_id")), "first_place": F.when(again, F.col("first_place"))})
 
 
 def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
@@ -71,15 +81,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     The three records of a row are written by one task, next to each other. Ids
     of rows need not be unique: record ids come from the row's place. Archives
-    are gzip files; a limit on their records keeps them near ``ARCHIVE_BYTES``.
+    are gzip files of ``ARCHIVE_BYTES`` at most, or of one larger capture.
     """
     rows = classify(pages.select(id_col, url_col, payload_col), id_col, payload_col)
-    n, total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(payload_col))).first()
-    records = 3 * max(1, int(ARCHIVE_BYTES * n / max(1, (total or 0) + 1000 * n)))
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = rows.withColumn("__at", F.monotonically_increasing_id())
-    page = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    name = lambda kind: F.concat(F.lit(f"<urn:capture:{kind}:"), page, F.lit(":"), F.col("__at").cast("string"), F.lit(">"))
+    name = lambda kind, place="place": F.concat(F.lit(f"<urn:capture:{kind}:"), F.col(place).cast("string"), F.lit(">"))
     url = F.coalesce(F.regexp_replace(url_col, r"[\x00-\x20\x7f]", "%20"), F.lit("about:blank"))
     is_revisit = F.col("first_id").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"), F.when(is_revisit, F.lit("")).otherwise(payload))
@@ -87,7 +93,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     response = _record(
         [
             ("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")), ("WARC-Record-ID", main), ("WARC-Date", date), ("WARC-Target-URI", url),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))), ("WARC-Refers-To", F.when(is_revisit, F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))), ("WARC-Refers-To", F.when(is_revisit, name("main", "first_place"))),
             ("WARC-Profile", F.when(is_revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", "application/http;msgtype=response"),
         ],
         http,
@@ -100,7 +106,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         [("WARC-Type", "metadata"), ("WARC-Record-ID", name("metadata")), ("WARC-Concurrent-To", main), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/warc-fields")],
         F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col(id_col).cast("string"), F.lit(CRLF)), F.lit("")), F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)),
     )
-    rows.select(F.explode(F.array(request, response, meta)).alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", records).text(path, compression="gzip")
+    size = F.when(is_revisit, F.lit(0)).otherwise(F.col("payload_bytes")) + 9 * F.coalesce(F.octet_length(url_col), F.lit(0))
+    level = F.lit(len(CLASSES))
+    for i, most in reversed(list(enumerate(CLASSES))):
+        level = F.when(size <= most, F.lit(i)).otherwise(level)
+    for i in [r[0] for r in rows.select(level).distinct().collect()] or [0]:  # a few classes
+        most = 3 * max(1, ARCHIVE_BYTES // (CLASSES[i] + HEADERS)) if i < len(CLASSES) else 3
+        records = rows.where(level == i).select(F.explode(F.array(request, response, meta)).alias("value"))
+        records.write.mode("append").option("lineSep", CRLF).option("maxRecordsPerFile", most).text(path, compression="gzip")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -174,14 +187,23 @@ def assemble(records: DataFrame) -> DataFrame:
     return main.join(side, F.col("capture_id") == F.col("concurrent_to"), "left").drop("concurrent_to")
 
 
+def referred(captures: DataFrame) -> DataFrame:
+    """``captures`` plus ``original``, the metadata fields of the capture whose record id
+    a revisit names; null where it names none of these."""
+    asked = captures.where("response.type = 'revisit'").select(F.col("response.refers_to").alias("asked")).where("asked is not null").distinct()
+    found = captures.join(asked, F.col("capture_id") == F.col("asked"), "left_semi").select(F.col("capture_id").alias("__id"), F.col("metadata.fields").alias("original"))
+    rows = captures.withColumn("__asked", F.when(F.col("response.type") == "revisit", F.col("response.refers_to")))
+    return by_hot_key(rows, written(found, "warc-originals"), "__asked", "__id", "capture_id").drop("__asked")
+
+
 def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back and
-    return the captures. Bytes and digest of a revisit come from its metadata and
-    header, those of a response from the payload as read."""
+    return the captures, with the originals of revisits. Bytes and digest of a revisit
+    come from its metadata and header, those of a response from the payload as read."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/lodestack/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, id_col, url_col, payload_col)
-    return assemble(read_warc(spark, path, payloads=False))
+    return referred(written(assemble(read_warc(spark, path, payloads=False)), "warc-captures"))
 
 
 def capture_columns(captures: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -191,5 +213,5 @@ def capture_columns(captures: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.coalesce(r["payload_bytes"], fields["payload-bytes"].cast("long")).alias("payload_bytes"),
         F.coalesce(r["payload_sha256"], F.regexp_extract(r["digest"], "sha256:([0-9a-f]+)", 1)).alias("payload_digest"),
         r["type"].alias("record_type"),
-        F.when(r["type"] == "revisit", F.regexp_extract(r["refers_to"], r"<urn:page:(-?\d+)>", 1).cast("long")).alias("refers_to"),
+        F.when(r["type"] == "revisit", F.col("original")["page-id"].cast("long")).alias("refers_to"),
     )

@@ -84,6 +84,37 @@ def test_jaccard_edges(spark, monkeypatch):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_rows_follow_a_group_not_its_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    made = {}
+    old, texts = jaccard.written, jaccard.written_texts
+    note = lambda f: lambda df, name: made.setdefault(name, []).append((out := f(df, name)).count()) or out
+    monkeypatch.setattr(jaccard, "written", note(old))
+    monkeypatch.setattr(jaccard, "written_texts", note(texts))
+    for most in (64, 1000):  # a long list, a short one
+        made.clear()
+        monkeypatch.setattr(jaccard, "LIST", most)
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.component_id for r in got} == {0}
+        assert max(made["jaccard-close"]) <= 3 * 300 and max(made["jaccard-rest"]) <= 300 and max(made["jaccard-dense-links"]) <= 300
+
+
+def test_lists_longer_than_the_bound_pass_through():
+    key = np.repeat(np.array([5, 7, 9, 11]), [1, 10, 2, 3])
+    doc = np.arange(len(key)) + 100
+    n = np.full(len(key), 8, np.int32)
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n)], ["key", "doc", "n"])
+    for step in (1, 2, 3, 16):
+        got = [r for b in jaccard.leaders(4)(iter([whole.slice(i, step) for i in range(0, len(key), step)])) for r in b.to_pylist()]
+        assert [(r["leader"], r["doc"], r["c"]) for r in got] == [(101, d, 5) for d in range(102, 111)] + [(111, 112, 2)] + [(113, 114, 3), (113, 115, 3)]
+
+
 def test_small_boundary_follows_cost():
     assert jaccard.small_boundary({}) == jaccard.MOST_SMALL
     assert 0 < jaccard.small_boundary({s: 10 for s in range(1, 13)}) < jaccard.MOST_SMALL
@@ -123,9 +154,27 @@ def test_embedding_links_equal_brute_force(spark):
     want = {i: (sum(i in p for p in links), c, i == c) for i, c in comp.items()}
     assert links and {k: v for k, v in got.items() if k is not None} == want
     assert got[None] == (0, None, True)
+    tiny = [(i, [v * f for v in (1.0, 2.0, -3.0, 0.5)], 1) for i, f in enumerate([1e-200, 1e200, 1.0, 3e-200])]
+    far = spark.createDataFrame([*tiny, (9, [3.0, 1.0, 1.0, 9.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(far).collect()) == [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (9, 0, 9)]
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tiles_that_pivots_keep_apart_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centre = np.eye(12)[rng.integers(12, size=600)]
+    x = centre + 0.02 * rng.normal(size=centre.shape)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    met = {}
+    old = embed_dedup.written
+    monkeypatch.setattr(embed_dedup, "written", lambda d, name: met.update({name: (out := old(d, name))}) or out)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, 0.98, tile=64).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == {i: int((row >= 0.98).sum() - 1) for i, row in enumerate(u @ u.T)}
+    pivots = met["dedup-tiles"].count()
+    assert met["dedup-meetings"].count() < pivots * pivots / 4
+
+
 def test_quantised_bound_holds():
     x, y = vectors(1, 200, 64), vectors(2, 200, 64)
     i, j = embed_dedup.linked_pairs(x.astype(np.float64), y.astype(np.float64), 0.2)
@@ -155,11 +204,26 @@ def test_nearest_recall_ties_and_edges(spark):
         hits += len(set(top) & {v for v, _ in got[q].values()})
     assert hits / (75 * 20) >= 0.9
     assert 5000 not in got and 5001 not in got
+    other = spark.createDataFrame([(7000, [1.0, 2.0]), (7001, [2.0, 1.0]), (7002, [0.5] * 24)], "vec_id long, embedding array<double>")
+    assert {r.query_id for r in ann.nearest(df.drop("score"), other, 5, leaf=32, enough=500).collect()} == {7002}
     few = ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0"), 20).collect()
     assert len(few) == 4
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def recall_at(ann_, df, x):
+    """Recall of every hundredth vector's 20 nearest."""
+    got = {}
+    for r in ann_.nearest(df, df.where("vec_id % 100 = 0"), 20, leaf=64).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    return [hits / (20 * len(got))]
+
+
 def test_nearest_searches_as_much_as_the_recall_needs(spark, monkeypatch):
     monkeypatch.setattr(ann, "SEARCH", 500)  # as small a share of the postings as 40,000 is of a large table's
     x = np.random.default_rng(5).normal(size=(3000, 48))
@@ -176,4 +240,7 @@ def test_nearest_searches_as_much_as_the_recall_needs(spark, monkeypatch):
         return hits / (60 * 20)
 
     assert recall(500) < 0.9 <= recall(None)
+    df = df.where("vec_id < 1000").cache()
+    x = x[:1000]
+    assert min(recall_at(ann, df, x)) >= 0.9
     assert ann.nearest(df, df.limit(0), 20, leaf=64).count() == 0
