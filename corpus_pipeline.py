@@ -7,40 +7,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, jaccard, language, mixing, secrets
-from lodestack.llm._shared import written
+from lodestack.llm._shared import written, written_texts
 from lodestack.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a language (null, or no letter) go."""
+    """Language ID: texts without a language (null, or no letter) go; ``lang`` of the
+    others becomes the predicted one."""
     model = language.fit(docs)
-    return language.predict(docs, model, COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    known = language.predict(docs, model, COLUMNS).where("lang_pred <> 'und'")
+    return written_texts(known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS), "pipeline-language")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the document with its smallest id
-    stays, once. Rows without an id link with nothing and stay."""
-    classes = written(jaccard.near_duplicates(docs), "pipeline-classes")
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
-    kept = docs.join(jaccard._side(written(gone, "pipeline-gone")), "doc_id", "left_anti").select(*COLUMNS)
-    side = jaccard._side(twice)
-    once = kept.join(side, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(side, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+    """N-gram Jaccard join: of each group of linked rows the one with the smallest id stays
+    (null last). Rows are told apart by number, so that equal ids don't link other texts."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "pipeline-rows")
+    classes = jaccard.near_duplicates(rows, "row", "text").select(F.col("row").alias("r"), "component_id")
+    of = rows.select("row", "doc_id").join(classes, F.col("row") == F.col("r"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = written(of.groupBy("component_id").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select("component_id", F.col("f.row").alias("first"), "n"), "pipeline-first")
+    several = stay.where("n > 1").select("component_id", "first")
+    gone = of.join(several, "component_id").where("row <> first").select("row")
+    return rows.join(jaccard._side(written(gone, "pipeline-gone")), "row", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: each span becomes ``[SECRET]``; all documents stay."""
     found = secrets.find_secrets(docs, "text", COLUMNS, masked=True)
-    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked")).select(*COLUMNS)
+    found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked"))
+    return written_texts(found.select(*COLUMNS), "pipeline-masked")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as the mix takes it."""
-    sized = docs.withColumn("__size", mixing.word_count("text"))
-    return mixing.emit(mixing.mix(sized, "doc_id", "__size", "source")).select(*COLUMNS)
+    sized = written(docs.select(*COLUMNS, mixing.word_count("text").alias("size")), "pipeline-sized")
+    return mixing.emit(mixing.mix(sized, "doc_id", "size", "source")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
     out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, "text", ["doc_id", "lang", "source"]), ranks)
-    return out.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = out.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return written_texts(out, "pipeline-ids")
 
 
 STAGES = [
