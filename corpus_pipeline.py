@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, jaccard, language, mixing, secrets
-from lodestack.llm._shared import written, written_texts
+from lodestack.llm._shared import scratch, written, written_texts
 from lodestack.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,16 +22,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked rows the one with the smallest id stays
-    (null last). Rows are told apart by number, so that equal ids don't link other texts."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "pipeline-rows")
-    classes = jaccard.near_duplicates(rows, "row", "text").select(F.col("row").alias("r"), "component_id")
-    of = rows.select("row", "doc_id").join(classes, F.col("row") == F.col("r"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stay = written(of.groupBy("component_id").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select("component_id", F.col("f.row").alias("first"), "n"), "pipeline-first")
-    several = stay.where("n > 1").select("component_id", "first")
-    gone = of.join(several, "component_id").where("row <> first").select("row")
-    return rows.join(jaccard._side(written(gone, "pipeline-gone")), "row", "left_anti").select(*COLUMNS)
+    """N-gram Jaccard join: of each component the document with its smallest id
+    stays, once: rows that share an id are one document. Rows without an id link
+    with nothing and stay."""
+    classes = jaccard.near_duplicates(docs)
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    kept = docs.join(jaccard._side(written(gone, "pipeline-gone")), "doc_id", "left_anti").select(*COLUMNS)
+    side = jaccard._side(twice)
+    once = kept.join(side, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return kept.join(side, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as the mix takes it."""
-    sized = written(docs.select(*COLUMNS, mixing.word_count("text").alias("size")), "pipeline-sized")
+    sized = docs.withColumn("size", mixing.word_count("text"))
     return mixing.emit(mixing.mix(sized, "doc_id", "size", "source")).select(*COLUMNS)
 
 
@@ -72,7 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{i}")
+        with scratch(spark) as result:
+            docs = result(stage(spark, docs, sf_dir), f"pipeline-{i}")
     return docs

@@ -4,9 +4,13 @@ the folder that driver and executors share."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +34,49 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder
-    takes its place.
+    Only in local mode, where both are one process, a temporary folder takes the place
+    of one that the session does not name; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("FAILED_PRECONDITION: spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lodestack-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Paths of the tables written within the innermost :func:`scratch`.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end the tables that :func:`written` made within it. It gives a
+    function that writes a result which stays, as :func:`written` does outside."""
+    made, outer = [], _made.get()
+    token = _made.set(made)
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        _made.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _made.set(made)
+
+    try:
+        yield result
+    finally:
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -48,6 +85,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,5 +94,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def sweep(spark: SparkSession) -> None:
     """Delete the tables that :func:`written` left in the shared folder. For the end of
     an application, when the results that read them are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestack")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/lodestack")
