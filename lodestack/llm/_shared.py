@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.session import shared_dir, written
+from lodestack.session import scratch, shared_dir, written
 
-__all__ = ["bounded_sample", "connected_components", "forest", "held_out", "kept", "shared_dir", "tidy", "written", "written_texts"]
+__all__ = ["bounded_sample", "connected_components", "forest", "held_out", "kept", "scratch", "shared_dir", "tidy", "written", "written_texts"]
 
 #: Whitespace that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"

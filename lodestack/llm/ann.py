@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import written
+from lodestack.llm._shared import scratch, written
 from lodestack.llm.vectors import common_dim, matrix, numbers, usable
 
 #: The most rows that the splits are fitted on; index and search cover all rows.
@@ -168,6 +168,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     to the smaller id. Empty input gives an empty result. Leaves are taken until
     they hold ``enough`` rows, by default the larger of ``SEARCH`` and what ``RECALL`` needs.
     """
+    with scratch(vectors.sparkSession) as result:
+        return result(_nearest(vectors, queries, k, id_col, vec_col, sample, trees, leaf, enough, seed), "ann-nearest")
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, sample: int, trees: int, leaf: int, enough: int | None, seed: int) -> DataFrame:
     spark = vectors.sparkSession
     take = lambda df: df.where(usable(vec_col)).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), numbers(vectors, vec_col).cast(kind).alias("v"))
     kind = vectors.select(numbers(vectors, vec_col).alias("v")).schema["v"].dataType.simpleString()

@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, forest, written
+from lodestack.llm._shared import connected_components, forest, scratch, written
 from lodestack.llm.vectors import common_dim, matrix, numbers, usable
 
 #: Rows of a tile; a group holds two.
@@ -109,6 +109,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     components of their own. Rows that share an id are one node: their links
     add up. A null id links with nothing (component null, kept).
     """
+    with scratch(vectors.sparkSession) as result:
+        return result(_components(vectors, threshold, id_col, vec_col, label_col, tile), "dedup-components")
+
+
+def _components(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, label_col: str, tile: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), numbers(vectors, vec_col).alias("v"))
     good = rows.where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("row", F.monotonically_increasing_id())

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, forest, kept, written, written_texts
+from lodestack.llm._shared import connected_components, forest, kept, scratch, written, written_texts
 
 WORDS = 5
 #: Sets up to this size may be small; the cost model picks the boundary below it.
@@ -202,6 +202,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id links with nothing and has no component. Rows that share an
     id are one node, with the links of all their texts. Ids are integers.
     """
+    with scratch(docs.sparkSession) as result:
+        return result(_classes(docs, id_col, text_col), "jaccard-classes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sig = written_texts(text.mapInArrow(signatures, SIGNATURE), "jaccard-signatures")

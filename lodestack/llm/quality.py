@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import bounded_sample, held_out, tidy, written, written_texts
+from lodestack.llm._shared import bounded_sample, held_out, scratch, tidy, written, written_texts
 
 #: Labelled rows and bytes of their texts that training reads at most.
 SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
@@ -111,6 +111,11 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_c
     kinds the classifier is flat and scores follow the sites. Sums are taken in whole
     millionths, so that reruns agree.
     """
+    with scratch(docs.sparkSession) as result:
+        return result(_quality(docs, labels, host, path, id_col, text_col, label_col, sample), "quality-scores")
+
+
+def _quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l")).agg(F.max(label_col).alias("y")).where(~held_out("l"))
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sized = text.select("id", F.octet_length("t").alias("bytes")).join(known, F.col("id") == F.col("l"))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import shared_dir, written
+from lodestack.llm._shared import scratch, shared_dir, written
+from lodestack.session import delete
 
 #: Payloads below this many bytes never become revisits.
 LEAST_PAYLOAD = 100
@@ -202,8 +203,12 @@ def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", p
     come from its metadata and header, those of a response from the payload as read."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/lodestack/warc-{uuid.uuid4().hex}"
-    write_warc(pages, path, id_col, url_col, payload_col)
-    return referred(written(assemble(read_warc(spark, path, payloads=False)), "warc-captures"))
+    with scratch(spark):
+        write_warc(pages, path, id_col, url_col, payload_col)
+    with scratch(spark) as result:
+        captures = written(assemble(read_warc(spark, path, payloads=False)), "warc-captures")
+        delete(spark, path)
+        return result(referred(captures), "warc-resolved")
 
 
 def capture_columns(captures: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -15,18 +15,16 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, t, "en", rng.choice(["a", "b", None]), len(t)) for i, t in corpus(7, 120)]
     rows.append((400, "quite another text that holds a password = hunter2222 in it", "en", "a", 60))
-    rows += [(500, None, "en", "a", None), (501, "!!! 123", "en", "a", 7), (502, rows[5][1], "en", "b", 1), (502, rows[5][1], "en", "b", 1), (502, "the same id with quite another text of some words", None, "b", 1)]
+    rows += [(500, None, "en", "a", None), (501, "!!! 123", "en", "a", 7), (502, rows[5][1], "en", "b", 1), (502, rows[5][1], "en", "b", 1), (503, "a text of its own without a known language", None, "b", 1)]
     path = tmp_path / "documents.parquet"
     spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size int").write.parquet(str(path))
     out = pipeline.run(spark, str(tmp_path)).collect()
 
     kept = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
-    comp = brute(list(enumerate(r[1] for r in kept)))
-    first = {}
-    for i, r in enumerate(kept):
-        first[comp[i]] = min(first.get(comp[i], (r[0], i)), (r[0], i))
-    masked = [(kept[i][0], secrets.mask(kept[i][1], secrets.scan(kept[i][1])), kept[i][3]) for _, i in first.values()]
-    assert [t for i, t, _ in masked if i == 400 and "[SECRET]" in t] and [i for i, *_ in masked].count(502) == 1
+    comp = brute([(r[0], r[1]) for r in kept])
+    once = {r[0]: r for r in kept if comp[r[0]] == r[0]}
+    masked = [(i, secrets.mask(r[1], secrets.scan(r[1])), r[3]) for i, r in once.items()]
+    assert [t for i, t, _ in masked if i == 400 and "[SECRET]" in t]
     df = spark.createDataFrame(masked, "doc_id long, text string, source string").withColumn("n", mixing.word_count("text"))
     copies = {(r.doc_id, r.text): r.copies for r in mixing.mix(df, "doc_id", "n", "source").collect()}
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
