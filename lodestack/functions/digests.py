@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestack.functions import names
 from lodestack.functions.status import ok, status
 
 # Digest functions of the remote execution protocol and their hash bytes.
@@ -64,16 +65,32 @@ def validate(function: Column, hash_: Column, size: Column) -> Column:
     )
 
 
-def integrity(data: Column, function: str, hash_: Column, size: Column, source: str = "backend") -> Column:
-    """Status of stored or uploaded bytes against their digest. Users' data fails as
-    INVALID_ARGUMENT, stored data as INTERNAL."""
+#: Functions that Spark computes.
+COMPUTED = ("MD5", "SHA1", "SHA256", "SHA384", "SHA512", "GITSHA1")
+
+
+def hash_by(function: Column, data: Column) -> Column:
+    """The hash by the function that each row names, null for one that is not computed."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name in COMPUTED:
+        out = out.when(function == name, hash_of(data, name))
+    return out
+
+
+def integrity(data: Column, function: str | Column, hash_: Column, size: Column, source: str = "backend") -> Column:
+    """Status of stored or uploaded bytes against their digest, by one function or by the
+    row's. Users' data fails as INVALID_ARGUMENT, stored data as INTERNAL; what cannot be
+    computed is UNIMPLEMENTED."""
     code = "INVALID_ARGUMENT" if source == "user" else "INTERNAL"
     seen = size_of(data)
+    made = hash_of(data, function) if isinstance(function, str) else hash_by(function, data)
     return (
         F.when(data.isNull(), status("NOT_FOUND", "Object not found"))
+        .when(size.isNull(), status("INVALID_ARGUMENT", "Invalid digest size"))
         .when(seen > size, status(code, "Buffer is larger than expected"))
         .when(seen != size, status(code, F.concat(F.lit("Buffer is "), seen.cast("string"), F.lit(" bytes in size, while "), size.cast("string"), F.lit(" bytes were expected"))))
-        .when(hash_of(data, function) != hash_, status(code, F.concat(F.lit("Buffer has checksum "), hash_of(data, function), F.lit(", while "), hash_, F.lit(" was expected"))))
+        .when(made.isNull(), status("UNIMPLEMENTED", "Digest function cannot be computed"))
+        .when(hash_.isNull() | (made != hash_), status(code, F.concat(F.lit("Buffer has checksum "), made, F.lit(", while "), F.coalesce(hash_, F.lit("none")), F.lit(" was expected"))))
         .otherwise(ok())
     )
 
@@ -120,8 +137,9 @@ def _parsed(path: Column, pattern: str, at: int) -> Column:
     part = lambda i: F.regexp_extract(path, pattern, i)
     named = F.upper(F.nullif(part(at + 1), F.lit("")))
     function = F.coalesce(named, infer_function(part(at + 2)))
+    sound = validate(function, part(at + 2), part(at + 3).try_cast("long")).isNull() & names.is_valid_or_root(part(1))
     return F.when(
-        path.rlike(pattern) & function.isNotNull(),
+        path.rlike(pattern) & function.isNotNull() & sound,
         F.struct(part(1).alias("instance"), F.nullif(part(at), F.lit("")).alias("compressor"), function.alias("function"), part(at + 2).alias("hash"), part(at + 3).try_cast("long").alias("size")),
     )
 
@@ -152,6 +170,20 @@ def compact(function_value_: Column, hash_: Column, size: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(function_value_.cast("long")), 2, "0")), F.unhex(hash_), zigzag_varint(size))
 
 
+def uncompact(packed: Column) -> Column:
+    """``struct<function, hash, size_bytes>`` of :func:`compact`, null for other bytes."""
+    value = F.conv(F.hex(F.substring(packed, 1, 1)), 16, 10).cast("int")
+    name, width = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(0))
+    for f, v in FUNCTIONS.items():
+        name, width = name.when(value == v, F.lit(f)), width.when(value == v, F.lit(HASH_BYTES[f]))
+    rest = F.substr(packed, width + 2, F.lit(10))
+    byte = lambda i: F.conv(F.hex(F.substr(rest, i, F.lit(1))), 16, 10).cast("long")
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length(rest), F.lit(1)))
+    z = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + F.call_function("shiftleft", byte(i).bitwiseAND(F.lit(127)), (i - 1) * 7))
+    whole = (F.octet_length(rest) > 0) & (F.octet_length(rest) < 10) & F.forall(places, lambda i: (byte(i) >= 128) == (i < F.octet_length(rest)))
+    return F.when(name.isNotNull() & whole, F.struct(name.alias("function"), F.lower(F.hex(F.substr(packed, F.lit(2), width))).alias("hash"), F.shiftrightunsigned(z, 1).alias("size_bytes")))
+
+
 def reduced_action(command_hash: Column, platform: Column) -> Column:
     """Digest of an action's command and platform alone; ``platform`` is a map, whose
     order does not matter."""

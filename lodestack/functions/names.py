@@ -19,6 +19,10 @@ def is_valid(name: Column) -> Column:
     return name.isNotNull() & ~redundant & ~F.arrays_overlap(F.split(name, "/"), F.array(*map(F.lit, RESERVED)))
 
 
+def is_valid_or_root(name: Column) -> Column:
+    return (name == "") | is_valid(name)
+
+
 def ancestors(name: Column) -> Column:
     """All prefixes by component, from the root ``''`` to the name itself."""
     parts = components(name)

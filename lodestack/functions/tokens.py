@@ -16,8 +16,10 @@ HMAC = {"HS256": hashlib.sha256, "HS384": hashlib.sha384, "HS512": hashlib.sha51
 
 
 def _part(header: Column, i: int) -> Column:
+    """A part as text; null for other headers and for bytes that are no base64 or UTF-8."""
     text = F.translate(F.regexp_extract(header, BEARER, i), "-_", "+/")
-    return F.when(header.rlike(BEARER), F.decode(F.unbase64(F.rpad(text, F.ceil(F.length(text) / 4).cast("int") * 4, "=")), "UTF-8"))
+    data = F.try_to_binary(F.rpad(text, F.ceil(F.length(text) / 4).cast("int") * 4, "="), F.lit("base64"))
+    return F.when(header.rlike(BEARER), F.try_validate_utf8(data.cast("string")))
 
 
 def parse(header: Column) -> Column:
@@ -25,7 +27,7 @@ def parse(header: Column) -> Column:
     head, claims = _part(header, 1), _part(header, 2)
     at = lambda doc, name: F.get_json_object(doc, f"$.{name}")
     return F.when(
-        head.isNotNull(),
+        head.isNotNull() & claims.isNotNull(),
         F.struct(at(head, "alg").alias("alg"), at(head, "kid").alias("kid"), claims.alias("claims"), at(claims, "nbf").try_cast("long").alias("nbf"), at(claims, "exp").try_cast("long").alias("exp"),
                  F.concat_ws(".", F.regexp_extract(header, BEARER, 1), F.regexp_extract(header, BEARER, 2)).alias("signed"), F.regexp_extract(header, BEARER, 3).alias("signature")),
     )
@@ -44,7 +46,10 @@ def hmac_valid(token: Column, keys: dict[str | None, bytes]) -> Column:
         def one(alg: str | None, kid: str | None, signed: str | None, signature: str | None) -> bool:
             if alg not in HMAC or signed is None or signature is None:
                 return False
-            given = base64.urlsafe_b64decode(signature + "=" * (-len(signature) % 4))
+            try:
+                given = base64.urlsafe_b64decode(signature + "=" * (-len(signature) % 4))
+            except ValueError:
+                return False
             own = [keys[kid]] if kid in keys and kid is not None else list(keys.values()) if kid is None else []
             return any(hmac.compare_digest(hmac.new(k, signed.encode(), HMAC[alg]).digest(), given) for k in own)
 

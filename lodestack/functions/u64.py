@@ -11,7 +11,7 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +83,10 @@ def assign_shards(df: DataFrame, hash64: str, shards: dict[str, int], out: str =
     own = check_shards(shards)
     names = np.array([k for k, *_ in own], object)
 
-    @F.pandas_udf("string")
-    def shard(h: pd.Series) -> pd.Series:
-        null = h.isna()
-        key = h.fillna(0).astype("int64").to_numpy().view(np.uint64)
-        return pd.Series(names[pick(key, own)]).where(~null.to_numpy(), None)
+    @F.arrow_udf("string")
+    def shard(h: pa.Array) -> pa.Array:  # Arrow, since pandas turns a column with nulls into doubles
+        null = h.is_null().to_numpy(zero_copy_only=False)
+        key = h.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array(names[pick(key, own)], pa.string(), mask=null)
 
     return df.withColumn(out, shard(F.col(hash64)))

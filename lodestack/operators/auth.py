@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import names
 from lodestack.functions.status import ok, status
-from lodestack.operators.combinators import small
 
 DENIED = "PERMISSION_DENIED"
 
@@ -24,7 +23,7 @@ def allowed_prefixes(requests: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Requests whose name lies under an allowed prefix: a semi join on ancestors."""
     unique = requests.select("instance_name").distinct()
     under = unique.select("instance_name", F.explode(names.ancestors(F.col("instance_name"))).alias("prefix"))
-    good = under.join(small(prefixes.select("prefix").distinct()), "prefix", "left_semi").select("instance_name").distinct()
+    good = under.join(prefixes.select("prefix").distinct(), "prefix", "left_semi").select("instance_name").distinct()
     return requests.join(good, "instance_name", "left_semi")
 
 

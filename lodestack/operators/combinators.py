@@ -1,7 +1,8 @@
 """Combinators over stores: mirrors, fallbacks, caches, routes, tenants, shards.
 
 Routes and ancestors are equi-joins: a name is exploded into its few ancestors,
-which meet the routes or rows by hash instead of by a prefix comparison.
+which meet the routes or rows by hash instead of by a prefix comparison. Whether a
+side is broadcast is left to the optimizer, which knows its size when it runs.
 """
 
 from __future__ import annotations
@@ -14,15 +15,6 @@ from lodestack.functions.status import is_infrastructure_error, ok, status
 from lodestack.operators.sets import KEY, distinct
 from lodestack.operators.stores import find_missing
 
-#: Route tables are configuration; beyond this many rows they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marked for a broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 # Mirrors ------------------------------------------------------------------
 
 def mirror_classes(requests: DataFrame, a: DataFrame, b: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -97,11 +89,22 @@ def cache_fills(requests: DataFrame, fast: DataFrame, slow: DataFrame, key: list
     return find_missing(requests, fast, key).join(slow.select(*key), key, "left_semi")
 
 
+def existence_cached(requests: DataFrame, seen: DataFrame, store: DataFrame, now: int, ttl: int, key: list[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """(missing keys, ``seen`` afterwards): keys present at most ``ttl`` before ``now`` are
+    not asked for again; of the others those that are present are remembered from now on.
+    ``seen`` holds ``key`` and ``seen_at``; keys whose time is up leave it."""
+    fresh = seen.where(F.col("seen_at") >= now - ttl).groupBy(*key).agg(F.max("seen_at").alias("seen_at"))
+    asked = distinct(requests, key).join(fresh, key, "left_anti")
+    missing = find_missing(asked, store, key, implicit_empty=False)
+    present = asked.join(missing, key, "left_anti").select(*key, F.lit(now).cast("long").alias("seen_at"))
+    return missing, fresh.unionByName(present)
+
+
 def canary_route(requests: DataFrame, health: DataFrame, now: Column) -> DataFrame:
     """Requests by the backend that a tenant's state names: the replica where a valid
     verdict is healthy, the source where it is not, the canary where none is valid."""
     state = health.select("instance_name", "healthy", "expires_at")
-    out = requests.join(small(state), "instance_name", "left")
+    out = requests.join(state, "instance_name", "left")
     valid = F.col("expires_at").isNotNull() & (F.col("expires_at") > now)
     return out.withColumn("backend", F.when(~valid, "canary").when(F.col("healthy"), "replica").otherwise("source")).drop("healthy", "expires_at")
 
@@ -120,7 +123,7 @@ def route(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """
     unique = requests.select("instance_name").distinct()
     prefixes = unique.select("instance_name", F.explode(names.ancestors(F.col("instance_name"))).alias("prefix"))
-    met = prefixes.join(small(routes), "prefix").groupBy("instance_name").agg(F.max_by(F.struct("prefix", "backend", "new_prefix"), names.depth(F.col("prefix"))).alias("r"))
+    met = prefixes.join(routes, "prefix").groupBy("instance_name").agg(F.max_by(F.struct("prefix", "backend", "new_prefix"), names.depth(F.col("prefix"))).alias("r"))
     out = requests.join(met, "instance_name", "left").select(*requests.columns, "r.*")
     inner = names.patch(F.col("instance_name"), F.col("prefix"), F.col("new_prefix"))
     bad = status("INVALID_ARGUMENT", F.concat(F.lit("Unknown instance name: "), F.col("instance_name")))
@@ -178,14 +181,17 @@ def expired(completed: Column, now_s: int, floor_s: int, validity_s: int, jitter
 def complete(results: DataFrame, references: DataFrame, store: DataFrame, result_key: list[str], key: list[str]) -> DataFrame:
     """Results none of whose references is missing from the store.
 
-    ``references`` holds ``result_key`` and ``key``; a null key stands for a
-    malformed digest and makes its result incomplete. Keys are made distinct
-    before the store is asked, so a popular object is looked up once.
+    ``references`` holds ``result_key`` and ``key``; a null in any key column stands
+    for a malformed digest and makes its result incomplete. Empty objects are never
+    missing. Keys are made distinct before the store is asked, so a popular object is
+    looked up once.
     """
-    wanted = references.where(F.col(key[0]).isNotNull()).select(*key).distinct()
-    missing = wanted.join(store.select(*key), key, "left_anti")
+    broken = F.lit(False)
+    for k in key:
+        broken = broken | F.col(k).isNull()
+    missing = find_missing(references.where(~broken).select(*key), store, key)
     lacking = references.join(missing, key, "left_semi").select(*result_key)
-    malformed = references.where(F.col(key[0]).isNull()).select(*result_key)
+    malformed = references.where(broken).select(*result_key)
     return results.join(lacking.union(malformed).distinct(), result_key, "left_anti")
 
 

@@ -38,28 +38,43 @@ def with_empty(rows: DataFrame, value: str = "data") -> DataFrame:
     return rows.withColumns({value: F.when(empty, F.lit(b"")).otherwise(F.col(value)), "status": F.when(empty, ok()).otherwise(F.col("status"))})
 
 
-def checked(rows: DataFrame, function: str = "SHA256", value: str = "data", source: str = "backend") -> DataFrame:
-    """Bytes that do not match their digest become a status; the value goes."""
-    seen = F.coalesce(F.col("status"), digests.integrity(F.col(value), function, F.col("hash"), F.col("size_bytes"), source))
+def checked(rows: DataFrame, function: str | None = None, value: str = "data", source: str = "backend") -> DataFrame:
+    """Bytes that do not match their digest become a status; the value goes. The row's
+    function decides, unless one is given."""
+    seen = F.coalesce(F.col("status"), digests.integrity(F.col(value), function or F.col("function"), F.col("hash"), F.col("size_bytes"), source))
     return rows.withColumn("status", seen).withColumn(value, F.when(F.col("status").isNull(), F.col(value)))
 
 
-def put(rows: DataFrame, store: DataFrame, function: str = "SHA256", key: list[str] = KEY) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, status per row). Each row is validated alone, one bad row
-    fails itself only; keys that exist already are consumed, not written again."""
-    judged = rows.withColumn("status", digests.integrity(F.col("data"), function, F.col("hash"), F.col("size_bytes"), "user"))
+def put(rows: DataFrame, store: DataFrame, function: str | None = None, key: list[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, status per row). Each row is validated alone, by its own function
+    unless one is given, one bad row fails itself only; keys that exist already are
+    consumed, not written again."""
+    judged = rows.withColumn("status", digests.integrity(F.col("data"), function or F.col("function"), F.col("hash"), F.col("size_bytes"), "user"))
     fresh = judged.where("status is null and size_bytes <> 0").drop("status").dropDuplicates(key).join(store.select(*key), key, "left_anti")
     return fresh, judged.drop("data")
 
 
-def put_hierarchical(rows: DataFrame, blobs: DataFrame, function: str = "SHA256") -> tuple[DataFrame, DataFrame]:
+def put_hierarchical(rows: DataFrame, blobs: DataFrame, function: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(blob rows, grant rows): bytes once under the canonical key, and one row per
     tenant and key that makes them visible."""
     fresh, _ = put(rows, blobs, function)
-    good = rows.withColumn("status", digests.integrity(F.col("data"), function, F.col("hash"), F.col("size_bytes"), "user")).where("status is null")
+    good = rows.withColumn("status", digests.integrity(F.col("data"), function or F.col("function"), F.col("hash"), F.col("size_bytes"), "user")).where("status is null")
     return fresh.select(*KEY, "data"), good.select("instance_name", *KEY).distinct()
 
 
+def get_hierarchical(requests: DataFrame, grants: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Reads of a hierarchical store: a blob is visible to a tenant if it or an ancestor has
+    a grant (the least specific is reported as ``found_at``); its bytes are those of the
+    canonical key, checked."""
+    from lodestack.operators.combinators import by_ancestor
+
+    seen = by_ancestor(requests, grants.select("instance_name", *KEY), KEY, most_specific=False)
+    out = checked(get(seen, blobs))
+    hidden = F.col("found_at").isNull() & (F.col("size_bytes") != 0)
+    gone = status("NOT_FOUND", NOT_FOUND)
+    return with_empty(out.withColumn("data", F.when(~hidden, F.col("data"))).withColumn("status", F.when(hidden, gone).otherwise(F.col("status"))))
+
+
 def read_only(rows: DataFrame) -> DataFrame:
     """Writes to a store that takes none."""
     return rows.drop("data").withColumn("status", status("INVALID_ARGUMENT", "The storage backend is read-only"))

@@ -8,6 +8,7 @@ items refer to parts, events are an operation log.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,7 +19,8 @@ from lodestack.functions import binary, digests, documents, names, paths, tokens
 from lodestack.functions.status import http_status
 from lodestack.operators import auth, combinators, graph, metrics, sets, stores
 from lodestack.plans.build import build
-from lodestack.sources import archives, references
+from lodestack.session import delete, shared_dir
+from lodestack.sources import archives, references, state
 from lodestack.streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,10 +100,11 @@ def get_with_status(spark, sf_dir):
     return got.select("doc_id", "hash", F.coalesce("status.code", F.lit("OK")).alias("code"))
 
 
-@query(f"WITH {_CAS} SELECT doc_id, CASE WHEN size_bytes <> octet_length(encode(text)) + doc_id % 2 THEN 'INTERNAL' ELSE 'OK' END AS code FROM cas")
+@query(f"WITH {_CAS} SELECT doc_id, CASE WHEN text IS NULL THEN 'NOT_FOUND' WHEN doc_id % 2 = 1 OR doc_id % 3 = 1 THEN 'INTERNAL' ELSE 'OK' END AS code FROM cas")
 def integrity_filter(spark, sf_dir):
-    """Every other stored blob claims one byte too few: it fails the size check."""
+    """Every other stored blob claims one byte too few, every third has another's hash."""
     rows = cas(spark, sf_dir).withColumn("size_bytes", F.col("size_bytes") - F.col("doc_id") % 2)
+    rows = rows.withColumn("hash", F.when(F.col("doc_id") % 3 == 1, F.sha2(F.lit(b"another"), 256)).otherwise(F.col("hash")))
     code = digests.integrity(F.col("data"), "SHA256", F.col("hash"), F.col("size_bytes"))["code"]
     return rows.select("doc_id", F.coalesce(code, F.lit("OK")).alias("code"))
 
@@ -915,11 +918,6 @@ def reference_pass_through(spark, sf_dir):
 @query("SELECT n_nationkey, n_name FROM nation")
 def state_reopened(spark, sf_dir):
     """State written in two versions and opened again: the newest one."""
-    import uuid
-
-    from lodestack.session import shared_dir
-    from lodestack.sources import state
-
     path = f"{shared_dir(spark)}/lodestack/state-{uuid.uuid4().hex}"
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     state.save(nation.limit(3), path, 1)
@@ -927,7 +925,7 @@ def state_reopened(spark, sf_dir):
     return state.latest(spark, path)
 
 
-@query()
+@query("SELECT n_nationkey, 1 AS field, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 2, n_nationkey::VARCHAR FROM nation")
 def message_field_visitor(spark, sf_dir):
     """Field ranges of messages made of two strings each."""
     part = lambda tag, c: F.concat(F.lit(bytes([tag])), F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 2, "0")), c.cast("binary"))
@@ -939,10 +937,6 @@ def message_field_visitor(spark, sf_dir):
 @query(ORACLE["rate_sampler"])
 def stream_sampler(spark, sf_dir):
     """The rate sampler over the log as a stream that ends with its files."""
-    import uuid
-
-    from lodestack.session import shared_dir
-
     log = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("user"), "us", "event_id")
     base = f"{shared_dir(spark)}/lodestack/stream-{uuid.uuid4().hex}"
     log.write.parquet(f"{base}/in")
@@ -951,3 +945,194 @@ def stream_sampler(spark, sf_dir):
     run = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "answer")
+
+
+# Plans that read ------------------------------------------------------------------
+
+
+def _tenanted(spark, sf_dir, side: int):
+    return cas(spark, sf_dir).where(F.col("doc_id") % 3 != side).select("instance_name", *KEY, "data").dropDuplicates(["instance_name", *KEY])
+
+
+def _asked(spark, sf_dir):
+    return cas(spark, sf_dir).select("doc_id", "instance_name", *KEY)
+
+
+def _codes(rows: DataFrame, *more: str) -> DataFrame:
+    """What a read answered: its code, and whether the bytes are the key's."""
+    return rows.select("doc_id", *more, F.coalesce("status.code", F.lit("OK")).alias("code"), F.coalesce(F.sha2("data", 256) == F.col("hash"), F.lit(False)).alias("sound"))
+
+
+def _code_sql(ok: str, extra: str = "") -> str:
+    return f"SELECT doc_id, {extra}CASE WHEN {ok} THEN 'OK' ELSE 'NOT_FOUND' END AS code, coalesce({ok}, false) AS sound FROM cas"
+
+
+_IN = "hash IN (SELECT hash FROM a) OR hash IN (SELECT hash FROM bench) OR hash IN (SELECT hash FROM cas WHERE doc_id % 2 = 0)"
+
+
+@query(f"WITH {_CAS} {_code_sql(_IN)}")
+def planned_get(spark, sf_dir):
+    """Reads through two mirrors and a fallback."""
+    even = cas(spark, sf_dir).where("doc_id % 2 = 0").dropDuplicates(KEY)
+    tables = {"a": mirror(spark, sf_dir, 0), "bench": items(spark, sf_dir).dropDuplicates(KEY), "even": even}
+    return _codes(build(_PLAN, tables).get(_asked(spark, sf_dir).drop("instance_name")))
+
+
+@query(f"WITH {_CAS} {_code_sql('hash IN (SELECT hash FROM a)')}")
+def sharded_get(spark, sf_dir):
+    """Reads through five shards over one table: each blob comes once."""
+    plan = {"sharding": {k: {"weight": w, "backend": {"local": "a"}} for k, w in SHARDS.items()}}
+    return _codes(build(plan, {"a": mirror(spark, sf_dir, 0)}).get(_asked(spark, sf_dir).drop("instance_name")))
+
+
+_DEMUX = """t AS (SELECT DISTINCT doc_id % 3 AS m, instance_name, hash FROM cas), k AS (SELECT cas.*, split_part(instance_name, '/', 1) AS top,
+EXISTS (SELECT 1 FROM t WHERE t.instance_name = cas.instance_name AND t.hash = cas.hash AND m <> 0) AS in0, EXISTS (SELECT 1 FROM t WHERE t.instance_name = cas.instance_name AND t.hash = cas.hash AND m <> 1) AS in1 FROM cas)"""
+
+
+@query(f"""WITH {_CAS}, {_DEMUX} SELECT doc_id, CASE WHEN top NOT IN ('en', 'de') THEN 'INVALID_ARGUMENT' WHEN (top = 'en' AND in0) OR (top = 'de' AND in1) THEN 'OK' ELSE 'NOT_FOUND' END AS code,
+(top = 'en' AND in0) OR (top = 'de' AND in1) AS sound FROM k""")
+def demux_get(spark, sf_dir):
+    """Reads by tenant from the backend of the longest prefix, under rewritten names."""
+    inner = _tenanted(spark, sf_dir, 1).withColumn("instance_name", names.patch(F.col("instance_name"), F.lit("de"), F.lit("x/y")))
+    plan = {"demultiplexing": {"en": {"backend": {"local": "t0"}}, "de": {"backend": {"local": "t1"}, "new_prefix": "x/y"}}}
+    return _codes(build(plan, {"t0": _tenanted(spark, sf_dir, 0), "t1": inner}).get(_asked(spark, sf_dir)))
+
+
+@query(f"""WITH {_CAS}, {_DEMUX} SELECT doc_id, CASE WHEN top = 'en' THEN 'UNAVAILABLE' WHEN top <> 'de' THEN 'INVALID_ARGUMENT' WHEN in0 OR in1 THEN 'OK' ELSE 'NOT_FOUND' END AS code, top = 'de' AND (in0 OR in1) AS sound FROM k""")
+def error_stops_fallback(spark, sf_dir):
+    """A fallback is asked for what is not found, never for what failed."""
+    plan = {"read_fallback": {"primary": {"demultiplexing": {"en": {"backend": {"error": {"code": "UNAVAILABLE", "message": "down"}}}, "de": {"backend": {"local": "t0"}}}}, "secondary": {"local": "t1"}}}
+    return _codes(build(plan, {"t0": _tenanted(spark, sf_dir, 0), "t1": _tenanted(spark, sf_dir, 1)}).get(_asked(spark, sf_dir)))
+
+
+_HELD = "held AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN split_part(instance_name, '/', 1) ELSE instance_name END AS holder, hash FROM cas WHERE doc_id % 3 <> 0)"
+_VISIBLE = "EXISTS (SELECT 1 FROM held WHERE held.hash = cas.hash AND (holder = instance_name OR starts_with(instance_name, holder || '/')))"
+
+
+def _held(spark, sf_dir):
+    top = F.element_at(F.split("instance_name", "/"), 1)
+    return cas(spark, sf_dir).where("doc_id % 3 <> 0").withColumn("instance_name", F.when(F.col("doc_id") % 2 == 0, top).otherwise(F.col("instance_name")))
+
+
+@query(f"WITH {_CAS}, {_HELD} {_code_sql(_VISIBLE)}")
+def hier_get(spark, sf_dir):
+    """Reads see what the tenant or an ancestor holds, and no other tenant's blobs."""
+    held = _held(spark, sf_dir).select("instance_name", *KEY, "data").dropDuplicates(["instance_name", *KEY])
+    return _codes(build({"hierarchical_instance_names": {"local": "t"}}, {"t": held}).get(_asked(spark, sf_dir)))
+
+
+@query(f"WITH {_CAS}, {_HELD} SELECT doc_id, CASE WHEN size_bytes = 0 OR {_VISIBLE} THEN 'OK' ELSE 'NOT_FOUND' END AS code, coalesce(size_bytes = 0 OR {_VISIBLE}, false) AS sound, (SELECT min_by(holder, length(holder)) FROM held WHERE held.hash = cas.hash AND (holder = instance_name OR starts_with(instance_name, holder || '/'))) AS found_at FROM cas")
+def hier_cas_get(spark, sf_dir):
+    """Grants make a tenant see the canonical blob; the least specific one counts."""
+    rows = _held(spark, sf_dir)
+    return _codes(stores.get_hierarchical(_asked(spark, sf_dir), rows.select("instance_name", *KEY).distinct(), rows.select(*KEY, "data").dropDuplicates(KEY)), "found_at")
+
+
+_NEXT = "r AS (SELECT c.doc_id, c.hash, CASE WHEN c.doc_id % 10 <> 0 THEN n.hash END AS ref, n.size_bytes AS ref_size FROM cas c JOIN cas n ON n.doc_id = c.doc_id + 1)"
+_LACKING = "SELECT hash FROM r WHERE ref IS NULL OR (ref_size <> 0 AND ref NOT IN (SELECT hash FROM a))"
+
+
+@query(f"WITH {_CAS}, {_NEXT} {_code_sql(f'hash NOT IN ({_LACKING})')}")
+def planned_completeness(spark, sf_dir):
+    """Results whose references are malformed or missing are not found; empty ones always exist."""
+    rows = cas(spark, sf_dir)
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), "function", F.when(F.col("doc_id") % 10 != 1, F.col("hash")).alias("hash"), "size_bytes")
+    refs = rows.select("doc_id", *[F.col(k).alias(f"result_{k}") for k in KEY]).join(after, "doc_id").drop("doc_id")
+    plan = {"completeness_checking": {"backend": {"local": "results"}, "content": {"local": "a"}, "references": "refs"}}
+    return _codes(build(plan, {"results": rows.select(*KEY, "data").dropDuplicates(KEY), "a": mirror(spark, sf_dir, 0), "refs": refs}).get(_asked(spark, sf_dir).drop("instance_name")))
+
+
+@query(f"WITH {_CAS} SELECT hash, CASE WHEN min(doc_id) % 2 = 0 THEN 5 ELSE 90 END AS seen_at, min(doc_id) % 2 = 1 OR hash IN (SELECT hash FROM a) AS known FROM cas WHERE size_bytes <> 0 GROUP BY hash")
+def existence_cache_join(spark, sf_dir):
+    """Keys seen lately are not asked for; the others are remembered if present."""
+    first = cas(spark, sf_dir).where("size_bytes <> 0").groupBy(*KEY).agg(F.min("doc_id").alias("first"))
+    seen = first.select(*KEY, F.when(F.col("first") % 2 == 0, 5).otherwise(90).cast("long").alias("seen_at"))
+    missing, after = combinators.existence_cached(first, seen, mirror(spark, sf_dir, 0), now=100, ttl=20)
+    gone = missing.withColumn("gone", F.lit(True))
+    out = seen.join(gone, KEY, "left").join(after.select(*KEY, F.lit(True).alias("kept")), KEY, "left")
+    return out.select("hash", F.col("seen_at").cast("int").alias("seen_at"), (F.col("kept").isNotNull() & F.col("gone").isNull()).alias("known"))
+
+
+# Nulls, bad input and several functions ---------------------------------------------
+
+
+@query(f"WITH {_shard_sql(SHARDS, _ORDER_HASH)} SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN shard END AS shard FROM orders LEFT JOIN assigned ON id = o_orderkey")
+def shard_assign_nulls(spark, sf_dir):
+    """Keys without a hash have no shard and change nobody else's."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, digests.shard_hash(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256))).alias("h"))
+    return u64.assign_shards(rows, "h", SHARDS).drop("h")
+
+
+_NULLED = "o AS (SELECT CASE WHEN event_id % 7 <> 0 THEN user_id + 9007199254740992 END AS user_id, event_id, epoch_us(ts) AS us FROM events), o2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM o)"
+
+
+@query(f"""WITH RECURSIVE {_NULLED}, f AS (SELECT user_id, event_id, n, us AS ins, 'miss' AS answer FROM o2 WHERE n = 1 UNION ALL
+SELECT o.user_id, o.event_id, o.n, CASE WHEN f.ins >= o.us - {DAY * 10**6} THEN f.ins ELSE o.us END, CASE WHEN f.ins >= o.us - {DAY * 10**6} THEN 'hit' ELSE 'miss' END FROM f JOIN o2 o ON o.user_id IS NOT DISTINCT FROM f.user_id AND o.n = f.n + 1)
+SELECT event_id, answer FROM f""")
+def existence_cache_null_keys(spark, sf_dir):
+    """Null keys are one key, and leave keys beyond 2**53 apart."""
+    rows = events(spark, sf_dir).withColumn("user_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id") + F.lit(2**53)))
+    return folds.fold(rows, "user_id", "us", "event_id", folds.existence_step(DAY * 10**6)).select("event_id", "answer")
+
+
+@query(f"WITH {_CAS} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNIMPLEMENTED' WHEN doc_id % 5 = 0 THEN 'INVALID_ARGUMENT' ELSE 'OK' END AS code FROM cas WHERE text IS NOT NULL")
+def mixed_functions_put(spark, sf_dir):
+    """An upload of rows by several digest functions: each is judged by its own."""
+    data = F.col("text").cast("binary")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", data.alias("data"), digests.size_of("text").alias("size_bytes"), F.when(F.col("doc_id") % 7 == 0, "BLAKE3").when(F.col("doc_id") % 2 == 0, "MD5").otherwise("SHA256").alias("function"))
+    wrong = F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("data"), F.lit(b"x"))).otherwise(F.col("data"))
+    rows = rows.withColumn("hash", F.coalesce(digests.hash_by(F.col("function"), wrong), F.repeat(F.lit("0"), F.lit(64))))
+    _, judged = stores.put(rows, mirror(spark, sf_dir, 0))
+    return judged.select("doc_id", F.coalesce("status.code", F.lit("OK")).alias("code"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a/b' WHEN 5 THEN '' END AS instance, CASE WHEN doc_id % 6 IN (0, 5) THEN sha256(doc_id::VARCHAR) END AS hash FROM documents""")
+def parse_bad_paths(spark, sf_dir):
+    """Paths with other letters, redundant slashes, reserved names or lengths are none."""
+    h, n = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.col("doc_id") % 6
+    path = F.when(n == 0, F.concat(F.lit("a/b/blobs/"), h, F.lit("/5"))).when(n == 1, F.concat(F.lit("blobs/"), F.repeat(F.lit("Z"), F.lit(64)), F.lit("/5"))).when(n == 2, F.concat(F.lit("a//b/blobs/"), h, F.lit("/5")))
+    path = path.when(n == 3, F.concat(F.lit("uploads/x/blobs/"), h, F.lit("/5"))).when(n == 4, F.lit("blobs/blake3/abc/5")).otherwise(F.concat(F.lit("blobs/"), h, F.lit("/9")))
+    got = digests.parse_read_path(path)
+    return table(spark, sf_dir, "documents").select("doc_id", got["instance"].alias("instance"), got["hash"].alias("hash"))
+
+
+@query("SELECT doc_id, doc_id % 5 = 0 AS parsed, doc_id % 5 = 0 AS valid FROM documents")
+def tokens_malformed(spark, sf_dir):
+    """Headers that are no base64, no UTF-8 or unsigned are denied, row by row."""
+    part = lambda s: F.translate(F.rtrim(F.base64(s), F.lit("=")), "+/", "-_")
+    head, claims = part(F.lit(b'{"alg":"HS256"}')), part(F.concat(F.lit(b'{"exp":'), F.col("doc_id").cast("string").cast("binary"), F.lit(b"}")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(".", head, claims).alias("signed"))
+
+    @F.udf("string")
+    def sign(s: str) -> str:
+        import base64
+        import hashlib
+        import hmac
+
+        return base64.urlsafe_b64encode(hmac.new(b"key", s.encode(), hashlib.sha256).digest()).rstrip(b"=").decode()
+
+    n = F.col("doc_id") % 5
+    header = F.when(n == 0, F.concat(F.lit("Bearer "), F.col("signed"), F.lit("."), sign("signed"))).when(n == 1, F.concat(F.lit("Bearer a."), F.split("signed", r"\.")[1], F.lit(".a")))
+    header = header.when(n == 2, F.lit("Bearer _w.__8.QQ")).when(n == 3, F.lit("Basic dXNlcg==")).otherwise(F.lit("Bearer e30"))
+    token = tokens.parse(header)
+    return docs.select("doc_id", token.isNotNull().alias("parsed"), F.coalesce(tokens.hmac_valid(token, {None: b"key"}), F.lit(False)).alias("valid"))
+
+
+@query("SELECT 0::BIGINT AS n")
+def state_empty_version(spark, sf_dir):
+    """The newest committed version counts, also when it is empty; one without its mark does not."""
+    path = f"{shared_dir(spark)}/lodestack/state-{uuid.uuid4().hex}"
+    r = table(spark, sf_dir, "region").select("r_regionkey")
+    state.save(r, path, 1)
+    state.save(r.limit(0), path, 2)
+    state.save(r, path, 10)
+    delete(spark, f"{path}/version=10/_SUCCESS")
+    return state.latest(spark, path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_CAS} SELECT doc_id, function, hash, size_bytes FROM cas WHERE text IS NOT NULL")
+def digest_uncompact(spark, sf_dir):
+    """Compact digests read back."""
+    rows = cas(spark, sf_dir).where("data is not null")
+    back = digests.uncompact(digests.compact(digests.function_value(F.col("function")), F.col("hash"), F.col("size_bytes")))
+    return rows.select("doc_id", back.alias("d")).select("doc_id", "d.*")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def save(state: DataFrame, path: str, version: int) -> None:
@@ -13,17 +13,24 @@ def save(state: DataFrame, path: str, version: int) -> None:
     state.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose writer ended, in order: those whose folder its committer marked."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(at)]
+    marked = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(n.removeprefix("version=")) for n, p in names if re.fullmatch(r"version=\d+", n) and marked(p))
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version, null when there is none."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    newest = table.agg(F.max("version")).first()[0]
-    return None if newest is None else table.where(F.col("version") == newest).drop("version")
+    """The newest committed version, which may be empty; null when there is none."""
+    seen = committed(spark, path)
+    return spark.read.parquet(f"{path}/version={seen[-1]}") if seen else None
 
 
 def expire(spark: SparkSession, path: str, keep: int) -> list[int]:
     """Versions beyond the newest ``keep``, oldest first: what a clean-up may delete."""
-    seen = sorted(r.version for r in spark.read.parquet(path).select("version").distinct().collect())
+    seen = committed(spark, path)
     return seen[:-keep] if keep else seen

@@ -13,6 +13,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,24 +77,28 @@ def fold(events: DataFrame, key: str, ts_us: str, tie: str, step: Step, payload:
 
     Events are dealt to partitions by key and sorted within them; a partition is
     read as a stream, with the state of one key at a time. A hot key is one long
-    sequential fold by nature, but it never has to fit in memory.
+    sequential fold by nature, but it never has to fit in memory. Events without a
+    key are those of one key; an event without a time has no answer and changes nothing.
     """
     cols = [F.col(key).alias("k"), F.col(ts_us).cast("long").alias("t"), F.col(tie).alias("i"), (F.col(payload) if payload else F.lit(None).cast("int")).alias("p")]
     rows = events.select(*cols).repartition("k").sortWithinPartitions("k", "t", "i")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), None
-        for pdf in frames:
+        for b in batches:  # Arrow, since pandas turns keys beside a null into doubles
             out = []
-            for k, t, p in zip(pdf["k"], pdf["t"], pdf["p"]):
+            for k, t, p in zip(*(b.column(c).to_pylist() for c in ("k", "t", "p"))):
                 if k != at:
                     at, state = k, None
-                state, answer = step(state, t, None if pd.isna(p) else p)
+                if t is None:
+                    out.append(None)
+                    continue
+                state, answer = step(state, t, p)
                 out.append(answer)
-            yield pdf[["k", "t", "i"]].assign(answer=out)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k", "t", "i")), pa.array(out, pa.string())], ["k", "t", "i", "answer"])
 
-    out = rows.mapInPandas(run, f"k {types['k']}, t long, i {types['i']}, answer string")
+    out = rows.mapInArrow(run, f"k {types['k']}, t long, i {types['i']}, answer string")
     return out.toDF(key, ts_us, tie, "answer")
 
 

@@ -179,3 +179,13 @@ def test_status(spark):
     assert tuple(one(spark, status.wrap(s, "while reading", "INTERNAL"))) == ("INTERNAL", "while reading: gone")
     assert one(spark, status.is_infrastructure_error(status.status("UNAVAILABLE", "")), status.is_infrastructure_error(s)) == (True, False)
     assert one(spark, status.http_status(F.lit("ABORTED")), status.http_status(F.lit("DATA_LOSS"))) == (409, 500)
+
+
+def test_shards_beside_a_null(spark):
+    """A null leaves the other rows' 64 bits alone."""
+    keys = [None, *((i * 0x9E3779B97F4A7C15) % 2**63 for i in range(1, 400))]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, h long")
+    own = u64.check_shards(SHARDS)
+    want = [own[j][0] for j in u64.pick(np.array(keys[1:], np.uint64), own)]
+    got = [r.shard for r in u64.assign_shards(df, "h", SHARDS).orderBy("i").collect()]
+    assert got == [None, *want]

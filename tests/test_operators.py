@@ -257,3 +257,23 @@ def test_canary_routes(spark):
     health = spark.createDataFrame([("a", True, 10), ("b", False, 10), ("c", True, 5)], "instance_name string, healthy boolean, expires_at int")
     got = {r.instance_name: r.backend for r in combinators.canary_route(req, health, F.lit(5)).collect()}
     assert got == {"a": "replica", "b": "source", "c": "canary", "d": "canary"}
+
+
+def test_plan_reads_and_failures(spark):
+    t = {"x": blobs(spark, "a", "b"), "y": blobs(spark, "c")}
+    asked = blobs(spark, "a", "c", "d").drop("data")
+    codes = lambda spec: sorted(r.c or "OK" for r in build(spec, t).get(asked).select(F.col("status.code").alias("c")).collect())
+    down = {"error": {"code": "UNAVAILABLE", "message": "down"}}
+    assert codes({"read_fallback": {"primary": {"local": "x"}, "secondary": {"local": "y"}}}) == ["NOT_FOUND", "OK", "OK"]
+    assert codes({"read_fallback": {"primary": down, "secondary": {"local": "y"}}}) == ["UNAVAILABLE"] * 3
+    assert codes({"read_caching": {"fast": {"local": "y"}, "slow": down}}) == ["OK", "UNAVAILABLE", "UNAVAILABLE"]
+    with pytest.raises(Exception, match="UNAVAILABLE: down"):
+        build(down, t).find_missing(asked).collect()
+    assert build(down, t).find_missing(asked.limit(0)).collect() == []
+
+
+def test_completeness_by_whole_digests(spark):
+    results = spark.createDataFrame([(i,) for i in range(5)], "r long")
+    refs = spark.createDataFrame([(0, "SHA256", "aa", 3), (1, "SHA256", None, 3), (2, "SHA256", "ee", 0), (3, "SHA256", "zz", 3), (4, "SHA256", "aa", None)], "r long, function string, hash string, size_bytes long")
+    store = spark.createDataFrame([("SHA256", "aa", 3)], "function string, hash string, size_bytes long")
+    assert sorted(r.r for r in combinators.complete(results, refs, store, ["r"], list(sets.KEY)).collect()) == [0, 2]
