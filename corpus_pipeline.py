@@ -1,5 +1,10 @@
 """The corpus pipeline: five stages over documents, each stage's rows written as
-Parquet and read again by the next."""
+Parquet and read again by the next.
+
+Stages that pass whole texts through Python ask for small Arrow batches. Their rows
+are made when the caller writes them, so a stage called alone leaves that setting in
+the session, where it has none; :func:`run` puts it back.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, jaccard, language, mixing, secrets
-from lodestack.llm._shared import scratch, written, written_texts
+from lodestack.llm._shared import BATCH_ROWS, TEXT_ROWS, scratch, written
 from lodestack.llm.queries import RANKS
 
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
+
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -18,7 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     others becomes the predicted one."""
     model = language.fit(docs)
     known = language.predict(docs, model, COLUMNS).where("lang_pred <> 'und'")
-    return written_texts(known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS), "pipeline-language")
+    _small_batches(spark)
+    return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +49,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secret scans: each span becomes ``[SECRET]``; all documents stay."""
     found = secrets.find_secrets(docs, "text", COLUMNS, masked=True)
     found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked"))
-    return written_texts(found.select(*COLUMNS), "pipeline-masked")
+    _small_batches(spark)
+    return found.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +65,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
     out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, "text", ["doc_id", "lang", "source"]), ranks)
-    out = out.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    return written_texts(out, "pipeline-ids")
+    _small_batches(spark)
+    return out.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -70,8 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        with scratch(spark) as result:
-            docs = result(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCH_ROWS, None)
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            with scratch(spark) as result:
+                docs = result(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_ROWS)
     return docs
