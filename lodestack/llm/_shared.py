@@ -3,6 +3,8 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,22 +20,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch of whole texts, where the session does not say otherwise.
 TEXT_ROWS = 250
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _slot: dict = {}
 
 
 def written_texts(df: DataFrame, name: str) -> DataFrame:
-    """:func:`written` for rows made from whole texts in Python workers: they get smaller
-    batches than narrow rows, and the session's own setting holds again afterwards."""
+    """:func:`written` for rows made from whole texts, or sets of their shingles, in Python
+    workers: they get smaller batches than narrow rows, and the session's own setting holds again afterwards."""
     conf = df.sparkSession.conf
-    own = conf.get(_BATCH, None)
+    own = conf.get(BATCH_ROWS, None)
     if own is not None:
         return written(df, name)
-    conf.set(_BATCH, TEXT_ROWS)
+    conf.set(BATCH_ROWS, TEXT_ROWS)
     try:
         return written(df, name)
     finally:
-        conf.unset(_BATCH)
+        conf.unset(BATCH_ROWS)
 
 
 def kept(key: str, make):
@@ -46,10 +48,12 @@ def kept(key: str, make):
 
 
 def tidy(batches):
-    """The batches, and afterwards Arrow's unused memory back to the system: workers
-    outlive their tasks."""
+    """The batches, and afterwards unused memory back to the system: workers outlive
+    their tasks."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def held_out(id_col: str | Column) -> Column:

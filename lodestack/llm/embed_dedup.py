@@ -32,7 +32,7 @@ from lodestack.llm.vectors import common_dim, matrix, numbers, usable
 
 #: Rows of a tile; a group holds two.
 TILE = 1024
-#: Pivots, rows of the table: a fixed number, so that they can be broadcast.
+#: Pivots, rows of the table: a fixed number, so that they can be broadcast. They part labels of as many tiles or more.
 PIVOTS = 64
 #: Tables of labels with more rows are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 100_000
@@ -143,6 +143,9 @@ def _components(vectors: DataFrame, threshold: float, id_col: str, vec_col: str,
                 )
 
     small = written(good.mapInArrow(quantised, QUANTISED.format(label=label)), "dedup-quantised")
+    large = small.groupBy("label", "d").count().where(F.col("count") >= PIVOTS * tile).select("label", "d", F.lit(True).alias("large"))
+    parted = lambda c, whole: F.when(F.col("large"), F.col(c)).otherwise(F.lit(whole)).alias(c)
+    small = small.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["label", "d"], "left").select("label", "d", "row", "id", "q", "scale", "err", "norm", parted("c", 0), parted("angle", float(np.pi)))
     # Tiles of a label and pivot, and which pivots can meet: at most PIVOTS rows a label and pivot.
     tiles = small.groupBy("label", "d", "c").agg(F.expr(f"cast((count(1) + {tile - 1}) div {tile} as int)").alias("k"), F.max("angle").alias("far"))
     tiles = written(tiles, "dedup-tiles")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm._shared import connected_components, forest, kept, scratch, written, written_texts
+from lodestack.llm._shared import connected_components, forest, kept, scratch, tidy, written, written_texts
 
 WORDS = 5
 #: Sets up to this size may be small; the cost model picks the boundary below it.
@@ -147,7 +147,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             if size > 1_000_000 or i + 1 == b.num_rows:
                 yield b.slice(lo, len(sets)), sets
                 lo, sets, size = i + 1, [], 0
-    pa.default_memory_pool().release_unused()
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sig = written_texts(text.mapInArrow(signatures, SIGNATURE), "jaccard-signatures")
+    sig = written_texts(text.mapInArrow(lambda it: tidy(signatures(it)), SIGNATURE), "jaccard-signatures")
     linkable = sig.where("doc is not null and n > 0")
     classes = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     several = written(classes.where("copies > 1"), "jaccard-copies")
@@ -247,7 +246,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
         side = _side(again)
-        fresh = text.join(side, "doc", "left_semi").mapInArrow(reorder, "doc long, d binary, light array<long>, late array<long>")
+        fresh = text.join(side, "doc", "left_semi").mapInArrow(lambda it: tidy(reorder(it)), "doc long, d binary, light array<long>, late array<long>")
         facts = reps.join(side, "doc", "left_semi").select(F.col("doc").alias("doc_"), F.col("digest").alias("d_"), "n", "copies")
         fresh = written_texts(fresh.join(facts, (F.col("doc") == F.col("doc_")) & (F.col("d") == F.col("d_"))).select("doc", "n", "copies", "light", "late"), "jaccard-reordered")
         entries = entries.join(side, "doc", "left_anti").unionByName(fresh.select("doc", "n", "copies", F.explode("light").alias("key")))
@@ -255,9 +254,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     total = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
+    meet = leaders(LIST)
     # Leaders come first: most copies, then the smallest id.
     dealt = entries.repartition(parts, "key").sortWithinPartitions("key", F.desc("copies"), "doc")
-    lists = written(dealt.mapInArrow(leaders(LIST), "list long, leader long, ln int, doc long, n int, c int"), "jaccard-lists")
+    lists = written(dealt.mapInArrow(lambda it: tidy(meet(it)), "list long, leader long, ln int, doc long, n int, c int"), "jaccard-lists")
     dense = lists.where(F.col("c") > LIST).select("leader", "doc", "ln", "n")
     if late is not None:
         dense = dense.unionByName(late_groups(late))
@@ -267,7 +267,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met = lists.where(F.col("c") <= LIST).select("leader", "doc", "ln", "n").unionByName(dense)
     met = met.where("doc <> leader and 4 * least(n, ln) >= 3 * greatest(n, ln)").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     close = met.join(sketches.toDF("a", "na", "ka"), "a").join(sketches.toDF("b", "nb", "kb"), "b")
-    close = written(close.mapInArrow(_possible, "a long, b long"), "jaccard-close")
+    close = written_texts(close.mapInArrow(lambda it: tidy(_possible(it)), "a long, b long"), "jaccard-close")
     sets = _sets_of(text, close.select("a").union(close.select("b")).union(dense.select("doc")).union(dense.select("leader")))
     linked = _verified(close, sets)
     near = linked.select(F.col("a").alias("leader"), F.col("b").alias("doc"), F.lit(True).alias("near"))
@@ -277,7 +277,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rest = lists.where(F.col("c").between(3, LIST)).select("list", "leader", "doc", "n").dropDuplicates(["list", "doc", "n"]).join(near, ["leader", "doc"], "left")
     rest = rest.select("list", "doc", "n", F.col("near").isNull().alias("apart")).withColumn("any", F.max("apart").over(Window.partitionBy("list"))).where("any").drop("any")
     rest = rest.join(sketches, ["doc", "n"]).repartition(parts, "list").sortWithinPartitions("list")
-    others = written(rest.mapInArrow(rest_of_lists(small), "a long, b long").distinct(), "jaccard-rest")
+    others = written_texts(rest.mapInArrow(rest_of_lists(small), "a long, b long").distinct(), "jaccard-rest")
     edges.append(_verified(others, _sets_of(text, others.select("a").union(others.select("b")))))
 
     union = edges[0]
@@ -302,13 +302,13 @@ def _moved(frequent: DataFrame) -> np.ndarray:
 def _sets_of(text: DataFrame, docs: DataFrame) -> DataFrame:
     """The shingle sets of some documents, made anew from their texts."""
     ids = written(docs.toDF("doc").distinct(), "jaccard-involved")
-    return written_texts(text.join(_side(ids), "doc", "left_semi").mapInArrow(_sets, "doc long, s binary").distinct(), "jaccard-sets")
+    return written_texts(text.join(_side(ids), "doc", "left_semi").mapInArrow(lambda it: tidy(_sets(it)), "doc long, s binary").distinct(), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return written(both.mapInArrow(_linked, "a long, b long").distinct(), "jaccard-linked")
+    return written_texts(both.mapInArrow(lambda it: tidy(_linked(it)), "a long, b long").distinct(), "jaccard-linked")
 
 
 def subset_links(sets: DataFrame, small: int) -> DataFrame:
