@@ -131,38 +131,54 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     Null and empty texts have no ids. A narrow, per-row step: no shuffle, rows
     stay where they are, repeated rows stay repeated.
     """
-    keep = list(keep or [])
+    return _encoded(docs, ranks, pattern, text_col, list(keep or []), False)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """:func:`encode`, and ``decoded`` as :func:`decode` makes it from those ids. Both in one
+    pass of one worker: two chained steps hold two workers a core, and send the ids twice."""
+    return _encoded(docs, ranks, pattern, text_col, list(keep or []), True)
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, keep: list[str], decoded: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     key = uuid.uuid4().hex
     src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
-    fields = ", ".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
+    made = ["ids", "decoded"] if decoded else ["ids"]
+    fields = [f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + [f"{c} binary" for c in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = kept(key, lambda: _Encoder(sent.value, pattern))
+        enc, pieces = kept(key, lambda: (_Encoder(sent.value, pattern), _pieces(sent.value) if decoded else []))
         for b in batches:
-            ids = pa.array([enc(t.as_py()) for t in b.column("t")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
+            ids = [enc(t.as_py()) for t in b.column("t")]
+            out = [ids, [_joined(i, pieces) for i in ids]] if decoded else [ids]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.binary()) for c in out]], [*b.schema.names[:-1], *made])
 
-    out = src.mapInArrow(lambda it: tidy(run(it)), f"{fields}{', ' if keep else ''}ids binary")
-    return out.toDF(*keep, "ids")
+    return src.mapInArrow(lambda it: tidy(run(it)), ", ".join(fields)).toDF(*keep, *made)
 
 
-def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``tokens`` plus the binary ``out_col``: the pieces of its ids, concatenated. Null
-    ids decode to nothing; ids outside the vocabulary, and bytes that are no whole ids, to null."""
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece
-    sent = tokens.sparkSession.sparkContext.broadcast(pieces)
+    return pieces
+
+
+def _joined(ids: bytes | None, pieces: list[bytes]) -> bytes | None:
+    if len(ids := ids or b"") % 4:
+        return None
+    at = np.frombuffer(ids, "<u4")
+    return None if len(at) and at.max() >= len(pieces) else b"".join(map(pieces.__getitem__, at.tolist()))
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``tokens`` plus the binary ``out_col``: the pieces of its ids, concatenated. Null
+    ids decode to nothing; ids outside the vocabulary, and bytes that are no whole ids, to null."""
+    sent = tokens.sparkSession.sparkContext.broadcast(_pieces(ranks))
 
     @F.arrow_udf("binary")
     def join(ids: pa.Array) -> pa.Array:
-        known, piece, out = len(sent.value), sent.value.__getitem__, []
-        for b in ids:
-            b = b.as_py() or b""
-            at = np.frombuffer(b, "<u4") if len(b) % 4 == 0 else None
-            out.append(None if at is None or (len(at) and at.max() >= known) else b"".join(map(piece, at.tolist())))
-        return pa.array(out, pa.binary())
+        return pa.array([_joined(b.as_py(), sent.value) for b in ids], pa.binary())
 
     return tokens.withColumn(out_col, join(F.col(ids_col)))
 

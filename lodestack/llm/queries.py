@@ -28,8 +28,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, "text", ["doc_id"])
-    out = bpe.decode(ids, ranks)
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, "text", ["doc_id"])
     out = out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
     return written_texts(out, "bpe-digests")
 

@@ -35,6 +35,8 @@ def test_bpe_equals_tiktoken_and_decodes(spark):
         t = [*TEXTS, TEXTS[4]][r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(t)
         assert bytes(r.decoded) == t.encode()
+    both = bpe.round_trip(df, ranks, public_tokenizers.PATTERN, "text", ["doc_id"])
+    assert sorted(map(tuple, both.collect())) == sorted((r.doc_id, r.ids, r.decoded) for r in out)
     assert bpe.encode(df.limit(0), ranks, public_tokenizers.PATTERN, "text", ["doc_id"]).count() == 0
     bad = spark.createDataFrame([(None,), (bytes(3),), (b"\xff\xff\xff\xff",), (bytes(4),)], "ids binary")
     assert [r.decoded for r in bpe.decode(bad, ranks).collect()][:3] == [b"", None, None]
