@@ -64,7 +64,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
-    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, "text", ["doc_id", "lang", "source"]), ranks)
+    out = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, "text", ["doc_id", "lang", "source"])
     _small_batches(spark)
     return out.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
