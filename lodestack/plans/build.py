@@ -122,13 +122,14 @@ def build(spec: dict, tables: dict[str, DataFrame], labels: dict[str, Node] | No
         source, replica, health = sub(v["source"]), sub(v["replica"]), tables[v["health"]]
 
         def read(r: DataFrame) -> DataFrame:
-            by = written(combinators.canary_route(r, health, F.lit(v["now"])), "plan-routes")
-            from_replica = replica.get(by.where("backend <> 'source'").drop("backend"))
-            tried = written(from_replica.join(by.select(*r.columns, "backend").distinct(), r.columns), "plan-reads")
+            way = f"__route{len(r.columns)}"  # carried beside the request; routes may be nested
+            by = written(combinators.canary_route(r, health, F.lit(v["now"])).withColumnRenamed("backend", way), "plan-routes")
+            tried = written(replica.get(by.where(F.col(way) != "source")), "plan-reads")
             # a canary that fails by infrastructure is read from the source
-            again = (F.col("backend") == "canary") & F.coalesce(~combinators.canary_verdict(F.col("status")), F.lit(False))
-            back = source.get(by.where("backend = 'source'").drop("backend").unionByName(tried.where(again).select(r.columns)))
-            return tried.where(~again).drop("backend").unionByName(back.select([c for c in tried.columns if c != "backend"]))
+            again = (F.col(way) == "canary") & F.coalesce(~combinators.canary_verdict(F.col("status")), F.lit(False))
+            back = source.get(by.where(F.col(way) == "source").drop(way).unionByName(tried.where(again).select(r.columns)))
+            out = tried.where(~again).drop(way)
+            return out.unionByName(back.select(out.columns))
 
         return Node(source.find_missing, read)
     if kind == "existence_caching":
@@ -169,7 +170,7 @@ def build(spec: dict, tables: dict[str, DataFrame], labels: dict[str, Node] | No
         return Node(lost, lambda r: references.expand(r, refs, media))
     if kind == "empty_blobs":
         n = sub(v)
-        some = lambda r: r.where("size_bytes <> 0")
+        some = lambda r: r.where(F.coalesce(F.col("size_bytes") != 0, F.lit(True)))
 
         def read(r: DataFrame) -> DataFrame:
             got = n.get(some(r))
@@ -219,8 +220,9 @@ def build(spec: dict, tables: dict[str, DataFrame], labels: dict[str, Node] | No
             asked = written(tries(r.select("instance_name", *KEY).distinct()), "plan-tenants")
             got = n.get(asked)
             order = Window.partitionBy("__own", *KEY).orderBy(_absent(), F.desc(names.depth(F.col("instance_name"))))
-            best = got.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(F.col("__own").alias("instance_name"), *KEY, "data", "status")
-            return r.join(best, ["instance_name", *KEY]).select(*r.columns, "data", "status")
+            best = got.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(F.col("__own").alias("instance_name"), *KEY, "data", "status", F.lit(True).alias("__met"))
+            met = r.join(best, ["instance_name", *KEY], "left")  # keys with nulls meet nothing
+            return met.select(*r.columns, "data", F.when(F.col("__met").isNull(), status("NOT_FOUND", stores.NOT_FOUND)).otherwise(F.col("status")).alias("status"))
 
         return Node(missing, read)
     if kind == "demultiplexing":

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import binary, digests, documents, names, paths, tokens, u64
@@ -1053,6 +1053,70 @@ def existence_cache_join(spark, sf_dir):
     return out.select("hash", F.col("seen_at").cast("int").alias("seen_at"), (F.col("kept").isNotNull() & F.col("gone").isNull()).alias("known"))
 
 
+_FIRST = "f AS (SELECT hash, min(doc_id) AS first FROM cas GROUP BY hash), k AS (SELECT cas.*, first FROM cas LEFT JOIN f USING (hash))"
+
+
+def _first(spark, sf_dir) -> DataFrame:
+    """Each key once, with the least document that has it."""
+    return cas(spark, sf_dir).groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.min_by("data", "doc_id").alias("data"))
+
+
+def _spoilt(data: Column) -> Column:
+    return F.when(F.col("first") % 4 == 1, F.concat(data, F.lit(b"x"))).otherwise(data)
+
+
+@query(f"WITH {_CAS}, {_FIRST}, g AS (SELECT doc_id, CASE WHEN size_bytes = 0 THEN 'OK' WHEN first IS NULL OR first % 3 = 0 THEN 'NOT_FOUND' WHEN first % 4 = 1 THEN 'INTERNAL' ELSE 'OK' END AS code FROM k) SELECT doc_id, code, code = 'OK' AS sound FROM g")
+def planned_wrappers(spark, sf_dir):
+    """Empty blobs exist whatever the store holds; others are checked on their way out."""
+    held = _first(spark, sf_dir).where("first % 3 <> 0").withColumn("data", _spoilt(F.col("data")))
+    return _codes(build({"empty_blobs": {"validating": {"local": "t"}}}, {"t": held}).get(_asked(spark, sf_dir)))
+
+
+@query(f"WITH {_CAS}, {_FIRST}, g AS (SELECT doc_id, CASE WHEN size_bytes = 0 THEN 'OK' WHEN first IS NULL OR first % 3 = 0 OR first % 5 = 0 THEN 'NOT_FOUND' WHEN first % 4 = 1 THEN 'INTERNAL' ELSE 'OK' END AS code FROM k) SELECT doc_id, code, code = 'OK' AS sound FROM g")
+def planned_references(spark, sf_dir):
+    """Reads through references into another medium: some lost, some to lost or changed bytes."""
+    rows, at = _first(spark, sf_dir), F.col("first").cast("string").alias("location")
+    refs = rows.where("first % 5 <> 0").select("hash", F.lit("disk").alias("medium"), at, F.lit(2).cast("long").alias("offset_bytes"), F.lit(0).cast("long").alias("length"), F.lit("identity").alias("decompressor"))
+    media = rows.where("first % 3 <> 0").select(F.lit("disk").alias("medium"), at, F.concat(F.lit(b"ab"), _spoilt(F.col("data"))).alias("content"))
+    return _codes(build({"empty_blobs": {"reference_expanding": {"references": "refs", "media": "media"}}}, {"refs": refs, "media": media}).get(_asked(spark, sf_dir)))
+
+
+_T0, _VALID, _JITTER = 1_700_000_000, 86_400, 3_600
+
+
+@query(f"""WITH {_CAS}, {_FIRST}, t AS (SELECT doc_id, hash, CASE WHEN first % 5 <> 0 THEN {_T0} + first * 1000 END AS t FROM k),
+g AS (SELECT doc_id, CASE WHEN hash IS NULL OR coalesce(t < {_T0 + 20_000} OR {(_T0 + 150_000) * 10**9} > (t + {_VALID})::HUGEINT * 1000000000 + (t::HUGEINT * {combinators.SPREAD} % {2**64}) % {_JITTER * 10**9}, false) THEN 'NOT_FOUND' ELSE 'OK' END AS code FROM t)
+SELECT doc_id, code, code = 'OK' AS sound FROM g""")
+def planned_expiring(spark, sf_dir):
+    """Results past their validity and jitter, or older than the floor, are not found."""
+    rows = _first(spark, sf_dir)
+    done = rows.select(*KEY, F.when(F.col("first") % 5 != 0, F.timestamp_seconds(F.col("first") * 1000 + _T0)).alias("worker_completed_timestamp"))
+    plan = {"action_result_expiring": {"backend": {"local": "t"}, "completed": "done", "now": _T0 + 150_000, "floor": _T0 + 20_000, "validity": _VALID, "jitter": _JITTER}}
+    return _codes(build(plan, {"t": rows, "done": done}).get(_asked(spark, sf_dir)))
+
+
+@query(f"WITH {_CAS}, {_FIRST} SELECT DISTINCT hash, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.hash = k.hash) THEN 'remembered' ELSE 'missing' END AS answer FROM k WHERE size_bytes <> 0 AND first % 2 = 0")
+def planned_existence_caching(spark, sf_dir):
+    """Keys seen lately are not asked for; what the others answered, and what is remembered of it."""
+    rows = _first(spark, sf_dir).where("size_bytes <> 0")
+    seen = rows.select(*KEY, F.when(F.col("first") % 2 == 0, 5).otherwise(90).cast("long").alias("seen_at"))
+    node = build({"existence_caching": {"backend": {"local": "a"}, "seen": "seen", "now": 100, "ttl": 20}}, {"a": mirror(spark, sf_dir, 0), "seen": seen})
+    asked = cas(spark, sf_dir).where("size_bytes <> 0").select(*KEY)
+    return node.find_missing(asked).select("hash", F.lit("missing").alias("answer")).unionByName(node.effects["remembered"](asked).select("hash", F.lit("remembered").alias("answer")))
+
+
+@query(f"""WITH {_CAS}, {_DEMUX}, w AS (SELECT *, length(instance_name) AS n FROM k),
+g AS (SELECT *, CASE WHEN n % 4 = 3 OR n % 3 = 2 THEN 'canary' WHEN n % 3 = 0 THEN 'replica' ELSE 'source' END AS way, CASE WHEN top = 'en' THEN 'UNAVAILABLE' WHEN top <> 'de' THEN 'INVALID_ARGUMENT' WHEN in0 THEN 'OK' ELSE 'NOT_FOUND' END AS far FROM w),
+h AS (SELECT doc_id, CASE WHEN way = 'source' OR (way = 'canary' AND far = 'UNAVAILABLE') THEN CASE WHEN in1 THEN 'OK' ELSE 'NOT_FOUND' END ELSE far END AS code FROM g) SELECT doc_id, code, code = 'OK' AS sound FROM h""")
+def planned_canarying(spark, sf_dir):
+    """A tenant's state names replica or source; a canary that finds the replica down is read from the source."""
+    n = F.length("instance_name")
+    health = cas(spark, sf_dir).select("instance_name").distinct().where(n % 4 != 3).select("instance_name", (n % 3 != 1).alias("healthy"), F.when(n % 3 == 2, 50).otherwise(200).alias("expires_at"))
+    replica = {"demultiplexing": {"en": {"backend": {"error": {"code": "UNAVAILABLE", "message": "down"}}}, "de": {"backend": {"local": "t0"}}}}
+    plan = {"read_canarying": {"source": {"local": "t1"}, "replica": replica, "health": "health", "now": 100}}
+    return _codes(build(plan, {"t0": _tenanted(spark, sf_dir, 0), "t1": _tenanted(spark, sf_dir, 1), "health": health}).get(_asked(spark, sf_dir)))
+
+
 # Nulls, bad input and several functions ---------------------------------------------
 
 

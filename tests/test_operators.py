@@ -277,3 +277,16 @@ def test_completeness_by_whole_digests(spark):
     refs = spark.createDataFrame([(0, "SHA256", "aa", 3), (1, "SHA256", None, 3), (2, "SHA256", "ee", 0), (3, "SHA256", "zz", 3), (4, "SHA256", "aa", None)], "r long, function string, hash string, size_bytes long")
     store = spark.createDataFrame([("SHA256", "aa", 3)], "function string, hash string, size_bytes long")
     assert sorted(r.r for r in combinators.complete(results, refs, store, ["r"], list(sets.KEY)).collect()) == [0, 2]
+
+
+def test_plan_reads_keep_keys_with_nulls(spark):
+    """Requests with a null in the key are answered NOT_FOUND, by every node that joins on it."""
+    asked = spark.createDataFrame([(1, "t/u", "SHA256", None, None), (2, "t/u", None, "ab", 1)], "doc_id int, instance_name string, function string, hash string, size_bytes bigint")
+    held = spark.createDataFrame([("t", "SHA256", "ab", 1, b"x")], "instance_name string, function string, hash string, size_bytes bigint, data binary")
+    health = spark.createDataFrame([("t/u", True, 200)], "instance_name string, healthy boolean, expires_at bigint")
+    local = {"local": "held"}
+    canary = {"read_canarying": {"source": local, "replica": local, "health": "health", "now": 100}}
+    for plan in ({"empty_blobs": local}, {"hierarchical_instance_names": local}, canary, {"read_canarying": {"source": local, "replica": canary, "health": "health", "now": 300}}):
+        got = build(plan, {"held": held, "health": health}).get(asked)
+        assert sorted(got.columns) == sorted([*asked.columns, "data", "status"])
+        assert sorted((r["doc_id"], r["status"]["code"]) for r in got.collect()) == [(1, "NOT_FOUND"), (2, "NOT_FOUND")]
