@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,17 +15,16 @@ FNV_BASIS, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
 def fnv1a(rows: list[bytes], basis: int = FNV_BASIS) -> np.ndarray:
-    """64-bit FNV-1a of each row, vectorised over rows of equal length."""
-    out = np.full(len(rows), basis, np.uint64)
-    by_size: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        by_size.setdefault(len(r), []).append(i)
-    for n, at in by_size.items():
-        h = out[at]
-        data = np.frombuffer(b"".join(rows[i] for i in at), np.uint8).reshape(len(at), n)
-        for j in range(n):
-            h = (h ^ data[:, j]) * np.uint64(FNV_PRIME)
-        out[at] = h
+    """64-bit FNV-1a of each row, vectorised over the rows that are long enough for a byte."""
+    size = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data, at, left = np.frombuffer(b"".join(rows), np.uint8), (np.cumsum(size) - size)[order], -size[order]
+    h = np.full(len(rows), basis, np.uint64)
+    for j in range(int(size.max(initial=0))):
+        n = np.searchsorted(left, -j)
+        h[:n] = (h[:n] ^ data[at[:n] + j]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
     return out
 
 
@@ -143,22 +143,29 @@ def chunks(data: Column, most: int) -> Column:
     return F.transform(starts, lambda i: F.substr(data, i, F.lit(most)))
 
 
-def bloom_positions(path: str, bits: int, functions: int) -> list[int]:
-    """FNV-1a of the path with 0, 1, ... trailing slashes, modulo the number of bits."""
-    return [int(fnv1a([path.encode() + b"/" * i])[0]) % bits for i in range(functions)]
+def bloom_positions(paths: list[str], bits: int | np.ndarray, functions: int) -> Iterator[np.ndarray]:
+    """FNV-1a of the paths with 0, 1, ... trailing slashes, modulo the number of bits (of
+    all filters or of each path's own): an array over the paths for each function."""
+    h = fnv1a([p.encode() for p in paths])
+    for _ in range(functions):
+        yield (h % np.asarray(bits, np.uint64)).astype(np.int64)
+        h = (h ^ np.uint64(ord("/"))) * np.uint64(FNV_PRIME)
 
 
 def bloom_size(filter_: bytes) -> int:
     """Bits of a filter: all before the terminator, the highest set bit."""
-    return int.from_bytes(filter_, "little").bit_length() - 1
+    used = filter_.rstrip(b"\0")
+    return 8 * len(used) - 9 + used[-1].bit_length() if used else -1
+
+
+def _bloom_packed(at: np.ndarray, bits: int) -> bytes:
+    held = np.zeros(bits + 1, bool)
+    held[at] = held[bits] = True
+    return np.packbits(held, bitorder="little").tobytes()
 
 
 def bloom_of(paths: list[str], bits: int, functions: int) -> bytes:
-    value = 1 << bits
-    for p in paths:
-        for i in bloom_positions(p, bits, functions):
-            value |= 1 << i
-    return value.to_bytes(bits // 8 + 1, "little")
+    return _bloom_packed(np.concatenate([np.empty(0, np.int64), *bloom_positions(paths, bits, functions)]), bits)
 
 
 def bloom_has(filter_: Column, functions: Column, path: Column) -> Column:
@@ -166,13 +173,19 @@ def bloom_has(filter_: Column, functions: Column, path: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def run(f: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
-        def one(f: bytes | None, k: int, p: str | None) -> bool:
-            if f is None or p is None or (m := bloom_size(bytes(f))) <= 0:
-                return False
-            v = int.from_bytes(bytes(f), "little")
-            return all(v >> i & 1 for i in bloom_positions(p, m, int(k)))
-
-        return pd.Series([one(*x) for x in zip(f, k, p)])
+        has = np.zeros(len(f), bool)
+        filters = [b"" if x is None else bytes(x) for x in f]
+        sizes = np.array([bloom_size(x) for x in filters], np.int64)
+        rows = np.flatnonzero((sizes > 0) & p.notna().to_numpy())
+        if len(rows):
+            data = np.frombuffer(b"".join(filters), np.uint8)
+            start = np.cumsum([0, *map(len, filters)])[rows]
+            asked = k.to_numpy()[rows].astype(np.int64)
+            all_set = np.ones(len(rows), bool)
+            for i, at in enumerate(bloom_positions(p.iloc[rows].tolist(), sizes[rows], int(asked.max()))):
+                all_set &= (i >= asked) | (data[start + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            has[rows] = all_set
+        return pd.Series(has)
 
     return run(filter_, functions, path)
 
@@ -183,17 +196,12 @@ def access_profiles(rows, key: list[str], path: str, bits: int, functions: int):
 
     @F.pandas_udf("array<int>")
     def positions(p: pd.Series) -> pd.Series:
-        return p.map(lambda x: [] if x is None else bloom_positions(x, bits, functions))
+        at = np.stack([*bloom_positions([x or "" for x in p], bits, functions)], axis=1).tolist()
+        return pd.Series([[] if x is None else i for x, i in zip(p, at)], dtype=object)
 
     @F.pandas_udf("binary")
     def packed(s: pd.Series) -> pd.Series:
-        def one(at: np.ndarray) -> bytes:
-            value = 1 << bits
-            for i in at:
-                value |= 1 << int(i)
-            return value.to_bytes(bits // 8 + 1, "little")
-
-        return s.map(one)
+        return s.map(lambda at: _bloom_packed(at, bits))
 
     each = rows.select(*key, F.explode(positions(F.col(path))).alias("bit")).distinct()
     return each.groupBy(*key).agg(F.collect_list("bit").alias("bits")).select(*key, packed(F.col("bits")).alias("bloom_filter"), F.lit(functions).alias("bloom_filter_hash_functions"))

@@ -779,8 +779,9 @@ def access_profile_bloom(spark, sf_dir):
     """File access profiles: each tenant's filter holds all paths that it has opened."""
     rows = table(spark, sf_dir, "events").select("user_id", F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("path"))
     made = binary.access_profiles(rows, ["user_id"], "path", 8191, 3)
-    lost = rows.join(made, "user_id").where(~binary.bloom_has(F.col("bloom_filter"), F.col("bloom_filter_hash_functions"), F.col("path")))
-    return made.select("user_id").join(lost.select("user_id").distinct(), "user_id", "left_anti")
+    has = binary.bloom_has(F.col("bloom_filter"), F.col("bloom_filter_hash_functions"), F.col("path"))
+    met = rows.join(made.withColumnRenamed("user_id", "tenant"), F.col("user_id").eqNullSafe(F.col("tenant")))
+    return met.groupBy("user_id").agg(F.bool_and(has).alias("held")).where("held").select("user_id")
 
 
 @query("SELECT count(DISTINCT (o_orderpriority, o_custkey % 7)) AS n FROM orders")

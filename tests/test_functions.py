@@ -151,6 +151,24 @@ def test_bloom_filter(spark):
     assert all(r.x for r in got if r.p in held) and sum(r.x for r in got if r.p not in held) < 20
 
 
+def test_bloom_filters_hash_paths_together(spark, monkeypatch):
+    calls, fnv1a = [], binary.fnv1a
+    monkeypatch.setattr(binary, "fnv1a", lambda *a: calls.append(1) or fnv1a(*a))
+    paths = [f"{'d/' * (i % 7)}ä{i}" for i in range(500)]
+    f = binary.bloom_of(paths, 8191, 3)
+    assert len(calls) == 1
+    monkeypatch.undo()
+    bits = {int(binary.fnv1a([p.encode() + b"/" * i])[0]) % 8191 for p in paths for i in range(3)} | {8191}
+    assert f == sum(1 << i for i in bits).to_bytes(1024, "little")
+    # each row has its own filter, number of functions and path, any of them null
+    small, none = binary.bloom_of(["x"], 31, 5), b"\0"
+    rows = [(f, 3, paths[9], True), (f, 1, paths[9], True), (f, 3, "x", False), (small, 5, "x", True), (small + b"\0", 5, "x", True), (small, 5, paths[9], False), (none, 3, "x", False), (b"", 3, "x", False), (None, 3, "x", False), (f, 3, None, False)]
+    df = spark.createDataFrame(rows, "f binary, k int, p string, want boolean")
+    assert all(r.x == r.want for r in df.select("want", binary.bloom_has(F.col("f"), F.col("k"), F.col("p")).alias("x")).collect())
+    made = binary.access_profiles(spark.createDataFrame([(None, p) for p in paths] + [(1, "x"), (1, None), (2, None)], "u int, p string"), ["u"], "p", 8191, 3)
+    assert {r.u: bytes(r.bloom_filter) for r in made.collect()} == {None: f, 1: binary.bloom_of(["x"], 8191, 3)}
+
+
 def test_documents(spark):
     doc = json.dumps({"name": "Ann", "files": {"token": "t0"}, "users": [{"name": "a", "age": 30}, {"name": "b", "age": 10}, {"name": "c"}], "aud": ["x", "y"]})
     d = F.lit(doc)
