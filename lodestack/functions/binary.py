@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,38 +49,83 @@ def slot_key(key_hex: Column, attempt: Column) -> Column:
 
 CODECS = ("identity", "zstd", "deflate")
 
+#: Rows of a batch that are Python objects at one time.
+ROWS_AT_ONCE = 64
+
+
+def by_row(one: Callable[..., bytes | None], *columns: pa.Array) -> pa.Array:
+    """``one`` of the values of each row, as bytes. A batch may hold many large values:
+    only a few rows of it become Python objects at a time."""
+    pieces = [pa.array([], pa.binary())]
+    for i in range(0, len(columns[0]), ROWS_AT_ONCE):
+        rows = zip(*(c.slice(i, ROWS_AT_ONCE).to_pylist() for c in columns))
+        pieces.append(pa.array([one(*x) for x in rows], pa.binary()))
+    return pa.concat_arrays(pieces)
+
+
+def _codec(name: str) -> str:
+    if name not in CODECS:
+        raise ValueError(f"INVALID_ARGUMENT: unknown decompressor {name}")
+    return name
+
+
+def _packed(x: bytes | None, how: str) -> bytes | None:
+    if x is None:
+        return None
+    if how == "deflate":
+        c = zlib.compressobj(wbits=-15)
+        return c.compress(x) + c.flush()
+    import zstandard
+
+    return zstandard.compress(x)
+
+
+def _unpacked(x: bytes | None, how: str | None) -> bytes | None:
+    if x is None:
+        return None
+    try:
+        if how == "deflate":
+            return zlib.decompressobj(-15).decompress(x)
+        if how == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompressobj().decompress(x)
+    except Exception:  # whatever a codec raises means bytes that it cannot decode
+        pass
+    return None
+
+
+def compress(data: Column, codec: str) -> Column:
+    """Bytes encoded by a codec (``identity``, ``zstd``, ``deflate``); null for null."""
+    if _codec(codec) == "identity":
+        return data
+
+    @F.arrow_udf("binary")
+    def pack(s: pa.Array) -> pa.Array:
+        return by_row(lambda x: _packed(x, codec), s)
+
+    return pack(data)
+
 
 def decompress(data: Column, codec: str | Column) -> Column:
     """Decoded bytes (``identity``, ``zstd``, ``deflate``, by name or per row); null if
     they do not decode or the codec is unknown. Bytes that need no decoding stay out
-    of Python."""
+    of Python. With a codec by name, one worker decodes what it made by :func:`compress`."""
     if isinstance(codec, str):
-        if codec not in CODECS:
-            raise ValueError(f"INVALID_ARGUMENT: unknown decompressor {codec}")
-        if codec == "identity":
+        if _codec(codec) == "identity":
             return data
-        codec = F.lit(codec)
 
-    def one(x: bytes | None, how: str | None) -> bytes | None:
-        if x is None:
-            return None
-        try:
-            if how == "deflate":
-                return zlib.decompressobj(-15).decompress(bytes(x))
-            if how == "zstd":
-                import zstandard
-
-                return zstandard.ZstdDecompressor().decompressobj().decompress(bytes(x))
-        except Exception:  # whatever a codec raises means bytes that it cannot decode
-            pass
-        return None
+        @F.arrow_udf("binary")
+        def unpack(s: pa.Array) -> pa.Array:
+            return by_row(lambda x: _unpacked(x, codec), s)
 
-    @F.pandas_udf("binary")
-    def run(s: pd.Series, how: pd.Series) -> pd.Series:
-        return pd.Series([one(*x) for x in zip(s, how)], dtype=object)
+        return unpack(data)
+
+    @F.arrow_udf("binary")
+    def unpack_by(s: pa.Array, how: pa.Array) -> pa.Array:
+        return by_row(_unpacked, s, how)
 
-    packed = F.when(codec != "identity", data)
-    return F.when(codec == "identity", data).otherwise(run(packed, codec))
+    return F.when(codec == "identity", data).otherwise(unpack_by(F.when(codec != "identity", data), codec))
 
 
 def message_fields(data: Column) -> Column:

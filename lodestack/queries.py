@@ -843,21 +843,9 @@ def compact_digests(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def compressed_roundtrip(spark, sf_dir):
     """Blobs packed by a codec (alternating) and read back through decompression."""
-    import zlib
-
-    @F.pandas_udf("binary")
-    def deflate(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else (c := zlib.compressobj(wbits=-15)).compress(b) + c.flush())
-
-    @F.pandas_udf("binary")
-    def zstd(s: pd.Series) -> pd.Series:
-        import zstandard
-
-        return s.map(lambda b: None if b is None else zstandard.compress(b))
-
     rows = cas(spark, sf_dir)
-    odd = rows.where("doc_id % 2 = 1").withColumn("data", binary.decompress(deflate(F.col("data")), "deflate"))
-    even = rows.where("doc_id % 2 = 0").withColumn("data", binary.decompress(zstd(F.col("data")), "zstd"))
+    odd = rows.where("doc_id % 2 = 1").withColumn("data", binary.decompress(binary.compress(F.col("data"), "deflate"), "deflate"))
+    even = rows.where("doc_id % 2 = 0").withColumn("data", binary.decompress(binary.compress(F.col("data"), "zstd"), "zstd"))
     return odd.unionByName(even).select("doc_id", digests.hash_of("data").alias("hash"))
 
 

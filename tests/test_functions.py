@@ -142,6 +142,29 @@ def test_codecs_and_message_fields(spark):
     assert one(spark, binary.message_fields(F.lit(b"\x12\x09abc"))) is None
 
 
+def test_codecs_hold_few_rows_in_one_worker(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = pa.array([bytes([i % 256]) * 10_000 if i % 7 else None for i in range(2000)], pa.binary())
+    for how in ("deflate", "zstd"):
+        tracemalloc.start()
+        packed = binary.by_row(lambda x: binary._packed(x, how), rows)
+        back = binary.by_row(binary._unpacked, packed, pa.array([how] * len(rows)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert back.equals(rows) and peak < 8e6  # of 17 MB
+    assert binary.by_row(binary._unpacked, pa.array([], pa.binary()), pa.array([], pa.string())).equals(pa.array([], pa.binary()))
+    df = spark.createDataFrame([(b"abc" * 9, "zstd"), (None, "zstd"), (b"", None)], "x binary, how string")
+    twice = df.select("x", "how", binary.decompress(binary.compress(F.col("x"), "deflate"), "deflate").alias("y"), binary.decompress(binary.compress(F.col("x"), "zstd"), F.col("how")).alias("z"))
+    assert [(r.x == r.y, r.how and r.x == r.z, r.z) for r in twice.collect()] == [(True, True, b"abc" * 9), (True, True, None), (True, None, None)]
+    plan = twice.select("y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # packed and unpacked by one worker
+    with pytest.raises(ValueError):
+        binary.compress(F.col("x"), "lzw")
+
+
 def test_bloom_filter(spark):
     held = [f"dir/file{i}" for i in range(20)]
     f = binary.bloom_of(held, 509, 3)
