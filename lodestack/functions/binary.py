@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestack.session import release
+
 # Fixed values of 64-bit FNV-1a.
 FNV_BASIS, FNV_PRIME = 14695981039346656037, 1099511628211
 
@@ -55,12 +57,17 @@ ROWS_AT_ONCE = 64
 
 def by_row(one: Callable[..., bytes | None], *columns: pa.Array) -> pa.Array:
     """``one`` of the values of each row, as bytes. A batch may hold many large values:
-    only a few rows of it become Python objects at a time."""
-    pieces = [pa.array([], pa.binary())]
+    only a few rows of it become Python objects at a time, and the result is built once."""
+    data, ends, valid = bytearray(), [0], []
     for i in range(0, len(columns[0]), ROWS_AT_ONCE):
-        rows = zip(*(c.slice(i, ROWS_AT_ONCE).to_pylist() for c in columns))
-        pieces.append(pa.array([one(*x) for x in rows], pa.binary()))
-    return pa.concat_arrays(pieces)
+        for x in zip(*(c.slice(i, ROWS_AT_ONCE).to_pylist() for c in columns)):
+            y = one(*x)
+            data += y or b""
+            ends.append(len(data))
+            valid.append(y is not None)
+    bitmap, offsets = pa.array(valid, pa.bool_()).buffers()[1], pa.array(ends, pa.int32()).buffers()[1]
+    release()
+    return pa.Array.from_buffers(pa.binary(), len(valid), [bitmap, offsets, pa.py_buffer(data)])
 
 
 def _codec(name: str) -> str:

@@ -3,14 +3,11 @@ connected components."""
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.session import scratch, shared_dir, written
+from lodestack.session import release, scratch, shared_dir, written
 
 __all__ = ["bounded_sample", "connected_components", "forest", "held_out", "kept", "scratch", "shared_dir", "tidy", "written", "written_texts"]
 
@@ -51,9 +48,7 @@ def tidy(batches):
     """The batches, and afterwards unused memory back to the system: workers outlive
     their tasks."""
     yield from batches
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
-        trim(0)
+    release()
 
 
 def held_out(id_col: str | Column) -> Column:

@@ -3,6 +3,7 @@ the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -13,6 +14,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,6 +74,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             delete(spark, path)
 
 
+def release() -> None:
+    """Unused memory of a Python worker back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
