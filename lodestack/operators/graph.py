@@ -34,22 +34,41 @@ def copy_plan(seeds: DataFrame, edges: DataFrame, sink: DataFrame) -> DataFrame:
     return closure(seeds, edges).join(sink.select("node"), "node", "left_anti")
 
 
+#: Rows of a partition of whole trees.
+TREE_ROWS = 1 << 18
+
+#: What may be wrong with a tree, as :func:`tree_status` prefers it.
+PROBLEMS = ("missing child", "out of order", "repeated directory", "unexpected directory")
+
+
+def by_tree(rows: DataFrame, tree: str) -> DataFrame:
+    """Small trees, each whole in one of as many partitions as the rows fill: what groups
+    by tree, or by tree and more, needs no further shuffle, and a task's memory does not
+    grow with the table. For rows that are cheap to count."""
+    return rows.repartition(-(-rows.count() // TREE_ROWS) or 1, tree)
+
+
 def tree_status(directories: DataFrame) -> DataFrame:
     """Per tree whether its directories are in topological order.
 
     ``directories``: ``tree, position, hash, children``. The root comes first;
     every other directory must have been named as a child by an earlier one, and
-    every named child must follow. Plain aggregation on (tree, hash).
+    every named child must follow. Plain aggregation on (tree, hash) of directories
+    and named children together; a null names no directory.
     """
-    child = directories.select("tree", F.col("position").alias("at"), F.explode("children").alias("hash"))
-    named = child.groupBy("tree", "hash").agg(F.min("at").alias("named_at"))
-    own = directories.groupBy("tree", "hash").agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("times"))
-    met = own.join(named, ["tree", "hash"], "full")
+    none = F.lit(None).cast(directories.schema["position"].dataType)
+    seen = lambda h, own, position, at: F.struct(h.alias("hash"), own.alias("own"), position.alias("position"), at.alias("at"))
+    own = F.array(seen(F.col("hash"), F.lit(1), F.col("position"), none))
+    named = F.transform("children", lambda c: seen(c, F.lit(None).cast("int"), none, F.col("position")))
+    each = directories.select("tree", F.inline(F.concat(own, F.coalesce(named, F.slice(own, 1, 0)))))
+    met = each.groupBy("tree", "hash").agg(F.min("position").alias("position"), F.count("own").alias("times"), F.count(F.lit(1)).alias("all"), F.min("at").alias("named_at"))
+    nowhere = (F.col("tree").isNull() | F.col("hash").isNull()) & (F.col("all") > F.col("times"))
     bad = (
-        F.when(F.col("position").isNull(), "missing child")
-        .when(F.col("times") > 1, "repeated directory")
-        .when((F.col("position") > 0) & F.col("named_at").isNull(), "unexpected directory")
-        .when((F.col("position") > 0) & (F.col("named_at") >= F.col("position")), "out of order")
-        .when((F.col("position") == 0) & F.col("named_at").isNotNull(), "out of order")
+        F.when(F.col("position").isNull() | nowhere, 1)
+        .when(F.col("times") > 1, 3)
+        .when((F.col("position") > 0) & F.col("named_at").isNull(), 4)
+        .when((F.col("position") > 0) & (F.col("named_at") >= F.col("position")), 2)
+        .when((F.col("position") == 0) & F.col("named_at").isNotNull(), 2)
     )
-    return met.groupBy("tree").agg(F.min(bad).alias("problem"))
+    worst = met.groupBy("tree").agg(F.min(bad).alias("worst"))
+    return worst.select("tree", F.coalesce(*[F.when(F.col("worst") == i, p) for i, p in enumerate(PROBLEMS, 1)]).alias("problem"))

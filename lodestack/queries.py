@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import binary, digests, documents, names, paths, tokens, u64
@@ -539,9 +539,9 @@ def nested_copy_plan(spark, sf_dir):
 @query("SELECT l_orderkey AS tree, CASE WHEN count(DISTINCT l_linenumber) < max(l_linenumber) - min(l_linenumber) + 1 THEN 'missing child' WHEN min(l_linenumber) > 1 THEN 'unexpected directory' END AS problem FROM lineitem GROUP BY 1")
 def tree_order(spark, sf_dir):
     """Line items as a chain of directories: each names the next number as its child."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("n")).distinct()
-    last = rows.groupBy("l_orderkey").agg(F.max("n").alias("last"))
-    dirs = rows.join(last, "l_orderkey").select(F.col("l_orderkey").alias("tree"), (F.col("n") - 1).alias("position"), F.col("n").cast("string").alias("hash"), F.when(F.col("n") < F.col("last"), F.array((F.col("n") + 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("children"))
+    rows = graph.by_tree(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("n")), "l_orderkey")
+    last = F.max("n").over(Window.partitionBy("l_orderkey"))
+    dirs = rows.distinct().withColumn("last", last).select(F.col("l_orderkey").alias("tree"), (F.col("n") - 1).alias("position"), F.col("n").cast("string").alias("hash"), F.when(F.col("n") < F.col("last"), F.array((F.col("n") + 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("children"))
     return graph.tree_status(dirs)
 
 

@@ -138,6 +138,21 @@ def test_graph(spark):
     assert got == {"ok": None, "miss": "missing child", "late": "out of order", "odd": "unexpected directory"}
 
 
+def test_trees_fill_partitions(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TREE_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 250).alias("tree"), (F.col("id") / 250).cast("int").alias("position"))
+    spread = graph.by_tree(rows, "tree")
+    assert spread.rdd.getNumPartitions() == 10 and graph.by_tree(rows.limit(0), "tree").count() == 0
+    chain = spread.select("tree", "position", F.col("position").cast("string").alias("hash"), F.when(F.col("position") < 3, F.array((F.col("position") + 1).cast("string"))).alias("children"))
+    status = graph.tree_status(chain)
+    assert status._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert status.where("problem is null").count() == 250
+    # a null names no directory: neither a child nor one of its own
+    odd = [(1, 0, "r", [None]), (2, 0, "r", []), (2, 1, None, []), (3, 0, "r", None), (4, 0, "r", ["x"]), (4, 1, "x", []), (4, 2, "x", []), (5, None, "r", [])]
+    got = {r.tree: r.problem for r in graph.tree_status(spark.createDataFrame(odd, "tree int, position int, hash string, children array<string>")).collect()}
+    assert got == {1: "missing child", 2: "unexpected directory", 3: None, 4: "repeated directory", 5: "missing child"}
+
+
 def test_composites(spark):
     whole = blobs(spark, "abc")
     child = hashlib.sha256(b"b").hexdigest()
