@@ -212,6 +212,24 @@ def test_archives(spark):
     assert bad.key is None
 
 
+def test_archives_are_not_copied():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i in range(64)]), pa.array([bytes([i]) * (1 << 20) for i in range(64)], pa.binary())], ["k", "d"])
+    tracemalloc.start()
+    made = [next(archives._archived(iter([rows]), 32 << 20))]
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    back = [k for b in archives._members(iter([made[0].select(["content"])])) for k in b.column(0).to_pylist()]
+    reading = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert made[0].column(1).to_pylist() == [32] and back == [f"k{i}" for i in range(32)]
+    assert packing < 45 << 20 and reading < 16 << 20  # of an archive of 32 MB
+
+
 def test_references(spark):
     import zlib
 
